@@ -1,4 +1,4 @@
-"""Hazard tables derived from the given ones."""
+"""Hazard tables derived from the given ones. Square roots keep rounded results clear of ties."""
 
 from floodframe.queries.base import FIXTURES
 
@@ -56,7 +56,7 @@ SELECT DISTINCT user_id AS cell_id, floor(CAST(user_id AS DOUBLE) / 40) / 5 + 10
 
 FIXTURES["fx_obs"] = """
 SELECT event_id AS obs_id, user_id AS cell_id, floor(CAST(user_id AS DOUBLE) / 40) / 5 + 10 AS latitude,
-  CAST(user_id % 40 AS DOUBLE) / 5 + 20 AS longitude, ts, value / 10 AS value,
+  CAST(user_id % 40 AS DOUBLE) / 5 + 20 AS longitude, ts, sqrt(value) AS value,
   CASE WHEN event_type IN ('error', 'signup') THEN 'late' ELSE 'early' END AS source, event_type AS variable
 FROM {events}
 """
@@ -94,7 +94,7 @@ SELECT cell_id, latitude, longitude, ts, CAST(obs_id % 9 AS INT) AS scene_class,
 # fine static grid, 0.01 degrees, and points over it
 FIXTURES["fx_dem"] = """
 SELECT CAST(floor(CAST(p_partkey AS DOUBLE) / 50) AS INT) AS grid_row, CAST(p_partkey % 50 AS INT) AS grid_col, p_partkey AS cell_id,
-  p_retailprice + (p_partkey * 37) % 11 AS elevation, CAST(p_size % 17 AS INT) AS land_cover FROM {part}
+  sqrt(p_retailprice * 1000) + (p_partkey * 37) % 11 AS elevation, CAST(p_size % 17 AS INT) AS land_cover FROM {part}
 """
 FIXTURES["fx_static"] = """
 SELECT cell_id, grid_row, grid_col, CAST(grid_row AS DOUBLE) / 100 AS latitude, CAST(grid_col AS DOUBLE) / 100 AS longitude,
@@ -149,8 +149,8 @@ SELECT row_id, CAST((l_partkey * 7919) % 17001 AS DOUBLE) / 100 - 85 AS latitude
 # feature rows with gaps, zeros and values outside their domains
 FIXTURES["fx_features"] = """
 SELECT row_id, CAST(x2 - 1 AS DOUBLE) AS gee_imerg_sum_24h_mm,
-  CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE x1 / 1000 END AS gee_imerg_sum_3d_before_mm,
-  CASE WHEN l_partkey % 19 = 0 THEN 0E0 ELSE x1 / 500 END AS gee_imerg_sum_7d_before_mm,
+  CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE sqrt(x1) / 10 END AS gee_imerg_sum_3d_before_mm,
+  CASE WHEN l_partkey % 19 = 0 THEN 0E0 ELSE sqrt(x1 * 2) / 10 END AS gee_imerg_sum_7d_before_mm,
   CASE WHEN l_partkey % 23 = 0 THEN NULL WHEN l_partkey % 23 = 1 THEN 0E0 ELSE x2 / 2 END AS gee_imerg_max_1h_intensity_mm,
   p_c * 40 - CASE WHEN l_suppkey % 13 = 0 THEN 30 ELSE 0 END AS gee_slope_mean,
   p_a * 1.1E0 AS gee_smap_surface_soil_moisture, x1 * 3 AS gee_merit_upa_mean,

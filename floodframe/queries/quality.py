@@ -45,7 +45,6 @@ def _(x):
     return rounded(rules.repair_features(x.fx_features.select("row_id", *_REPAIRED)))
 
 
-# one decimal place of numbers that stay clear of ties
 _FLAGS = """
 SELECT row_id, concat_ws('|', CASE WHEN gee_imerg_max_1h_intensity_mm IS NULL THEN 'missing_imerg_intensity_features' END,
     CASE WHEN flood_start_date > DATE '2001-06-01' THEN 'future_event_date_' || CAST(flood_start_date AS VARCHAR) END,
@@ -65,18 +64,13 @@ SELECT row_id, concat_ws('|', CASE WHEN gee_imerg_max_1h_intensity_mm IS NULL TH
     CASE WHEN soil < 0 OR soil > 1 THEN 'soil_moisture_out_of_range_' || printf('%.3f', soil) END,
     CASE WHEN gee_gfs_temp2m_celsius < -50 OR gee_gfs_temp2m_celsius > 60 THEN 'temperature_out_of_range_' || printf('%.1f', gee_gfs_temp2m_celsius) || 'C' END
   ) AS data_quality_warnings
-FROM (SELECT *, gee_smap_surface_soil_moisture AS soil, gee_imerg_sum_7d_before_mm AS s7, lower(coalesce(flood_type, 'none')) AS ft FROM FEATURES) AS f
+FROM (SELECT *, gee_smap_surface_soil_moisture AS soil, gee_imerg_sum_7d_before_mm AS s7, lower(coalesce(flood_type, 'none')) AS ft FROM fx_features) AS f
 """
-_CHECKED = """(SELECT * REPLACE (CASE WHEN gee_imerg_sum_7d_before_mm < 25 THEN 17.3E0 ELSE gee_imerg_sum_7d_before_mm END AS gee_imerg_sum_7d_before_mm) FROM fx_features)"""
-_FLAGS = _FLAGS.replace("FEATURES", _CHECKED)
 _WITH_VALID = f"SELECT *, data_quality_issues = '' AS data_quality_valid FROM ({_FLAGS}) AS q"
 
 
 def _flagged(x):
-    # a fixed value keeps the printed figure clear of rounding ties; a fixed date keeps the result repeatable
-    week = F.col("gee_imerg_sum_7d_before_mm")
-    df = x.fx_features.withColumn("gee_imerg_sum_7d_before_mm", F.when(week < 25, 17.3).otherwise(week))
-    return rules.quality_flags(df, now=F.lit("2001-06-01").cast("timestamp"))
+    return rules.quality_flags(x.fx_features, now=F.lit("2001-06-01").cast("timestamp"))
 
 
 @query("quality_flags", _WITH_VALID)

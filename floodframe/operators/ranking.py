@@ -2,13 +2,21 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_SLICES = 256
+_SLICE_BITS = 8
+
+
+def _slice_number(value: Column, cuts: Column) -> Column:
+    """How many of the ``2**_SLICE_BITS - 1`` sorted cuts lie below a value, by halving steps."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(_SLICE_BITS))])
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.element_at(cuts, at + step) < value, at + step).otherwise(at)
+    )
 
 
 def running_totals(
-    df: DataFrame, order_col: str, measures: Sequence[str], by: Sequence[str] = (), slices: int = _SLICES
+    df: DataFrame, order_col: str, measures: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
     """Append ``<m>_before`` (sum over smaller ``order_col``) and ``<m>_total`` for each measure.
 
@@ -17,17 +25,16 @@ def running_totals(
     scanned on its own and gets the exact total of the slices before it.
     """
     by = list(by)
+    slices = 1 << _SLICE_BITS
     marks = [i / slices for i in range(1, slices)]
     cuts = df.groupBy(*by).agg(F.percentile_approx(order_col, marks, 10_000).alias("_cuts"))
     keyed = df.join(cuts, by) if by else df.withColumn("_cuts", cuts.scalar())
-    sliced = keyed.withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda c: c < F.col(order_col)))
-    ).drop("_cuts")
+    sliced = keyed.withColumn("_slice", _slice_number(F.col(order_col), F.col("_cuts"))).drop("_cuts")
     within = Window.partitionBy(*by, "_slice").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     inner = sliced.select("*", *[F.coalesce(F.sum(m).over(within), F.lit(0)).alias(f"_{m}_in") for m in measures])
 
     sums = sliced.groupBy(*by, "_slice").agg(*[F.sum(m).alias(f"_{m}_sum") for m in measures])
-    group = Window.partitionBy(*(by or [F.lit(0)]))  # at most `slices` rows per group
+    group = Window.partitionBy(*(by or [F.lit(0)]))  # at most 256 rows per group
     ahead = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         *by, "_slice",

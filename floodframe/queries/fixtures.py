@@ -142,8 +142,8 @@ SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_partkey AS STRING), '-', C
 FIXTURES["fx_scored"] = """
 SELECT row_id, CAST((l_partkey * 7919) % 17001 AS DOUBLE) / 100 - 85 AS latitude,
   CAST((l_partkey * 104729) % 36000 AS DOUBLE) / 100 - 180 AS longitude,
-  p_b AS "Final_Risk_Score", p_b - p_a * 0.2E0 AS "Risk_Lower_90", p_b + p_c * 0.3E0 AS "Risk_Upper_90",
-  p_a * 0.2E0 + p_c * 0.3E0 AS "Uncertainty", CAST(l_partkey % 12 * 10 AS INT) AS "Land_Cover", x1, x2 FROM {fx_preds}
+  p_b AS "Final_Risk_Score", p_b - sqrt(x1) * 0.0008E0 AS "Risk_Lower_90", p_b + sqrt(x1) * 0.0012E0 AS "Risk_Upper_90",
+  sqrt(x1) * 0.002E0 AS "Uncertainty", CAST(l_partkey % 12 * 10 AS INT) AS "Land_Cover", x1, x2 FROM {fx_preds}
 """.replace('"', "")
 
 # feature rows with gaps, zeros and values outside their domains

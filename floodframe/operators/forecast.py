@@ -89,44 +89,64 @@ def places_to_cells(places: DataFrame, cells: DataFrame, domain: str = "180", st
     return inside.unionByName(nearest)
 
 
-def _prepared(events: DataFrame, strategy: Column, buffer: Column) -> DataFrame:
-    return events.withColumns({"strategy": strategy, "buffer": buffer.cast("double")})
+def _prepared(events: DataFrame, strategy: Column) -> DataFrame:
+    return events.withColumns({"strategy": strategy, "buffer": buffer_m(F.col("flood_type"), "forecast").cast("double")})
 
 
-def _member_values(prepared: DataFrame, fc: DataFrame, cells: DataFrame | None, domain: str) -> DataFrame:
-    """Spatial mean per place, day, product and member at the nearest forecast time."""
+def _values_at(prepared: DataFrame, fc: DataFrame, cells: DataFrame | None, domain: str) -> DataFrame:
+    """Control value and perturbed-member values per place and day, at the nearest forecast time.
+
+    A cell's members at one time travel as one map, so the join and the grouping move a row per
+    cell instead of a row per member. The forecast table holds one value per cell, time, product and member.
+    """
     usable = prepared.where("latitude IS NOT NULL AND longitude IS NOT NULL AND flood_start_date IS NOT NULL")
     cells = forecast_cells(fc) if cells is None else cells
     pairs = places_to_cells(usable.select(*_PLACE).distinct(), cells, domain)
-    seconds = lambda c: F.unix_seconds(c.cast("timestamp")).cast("double")
+    seconds = lambda c: F.unix_seconds(c.cast("timestamp"))
     days = usable.select("flood_start_date").distinct().withColumn("ts_s", seconds(F.col("flood_start_date")))
     axis = fc.select(seconds(F.col("ts")).alias("ts_s")).distinct()
-    nearest_day = nearest_on_axis(days, axis, "ts_s", "_ts").select("flood_start_date", "_ts")
+    nearest_day = nearest_on_axis(days, axis, "ts_s", "_ts").select("flood_start_date", F.col("_ts").cast("long"))
     wanted = (
         usable.select(*_PLACE, "flood_start_date").distinct()
         .join(nearest_day, "flood_start_date").join(pairs, _PLACE)
     )
     facts = fc.select("cell_id", "product", "member", "value", seconds(F.col("ts")).alias("_ts"))
-    return (
-        wanted.join(facts, ["cell_id", "_ts"])
-        .groupBy(*_PLACE, "flood_start_date", "product", "member").agg(F.avg("value").alias("value"))
+    needed = facts.join(wanted.select("cell_id", "_ts").distinct(), ["cell_id", "_ts"], "left_semi")
+    perturbed = (F.col("product") == "pf") & (F.col("member") != 0) & F.col("value").isNotNull()
+    by_cell = needed.groupBy("cell_id", "_ts").agg(
+        F.avg(F.when(F.col("product") == "cf", F.col("value"))).alias("_control"),
+        F.map_from_entries(F.collect_list(F.when(perturbed, F.struct("member", "value")))).alias("_members"),
     )
+    return wanted.join(by_cell, ["cell_id", "_ts"]).groupBy(*_PLACE, "flood_start_date").agg(
+        F.avg("_control").alias("glofas_forecast_control"), F.collect_list("_members").alias("_cells")
+    )
+
+
+def _mean(values: Column) -> Column:
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), F.size(values))
 
 
-def _control(members: DataFrame) -> Column:
-    return F.avg(F.when(F.col("product") == "cf", F.col("value"))).alias("glofas_forecast_control")
+def _quantile(ordered: Column, p: float) -> Column:
+    position = F.lit(p) * (F.size(ordered) - 1)
+    low = F.get(ordered, F.floor(position).cast("int"))
+    high = F.get(ordered, F.ceil(position).cast("int"))
+    return low + (high - low) * (position - F.floor(position))
 
 
-def _ensemble_columns() -> list[Column]:
-    v = F.when((F.col("product") == "pf") & (F.col("member") != 0), F.col("value"))
-    q = F.percentile(v, F.array(F.lit(0.1), F.lit(0.9)))
-    return [
-        F.avg(v).alias("glofas_forecast_mean"),
-        F.median(v).alias("glofas_forecast_median"),
-        F.stddev_pop(v).alias("glofas_forecast_std_dev"),
-        q[0].alias("glofas_forecast_10th_percentile"),
-        q[1].alias("glofas_forecast_90th_percentile"),
-    ]
+def _with_ensemble(values: DataFrame) -> DataFrame:
+    """Statistics over members of their means over cells; the lists are as long as the ensemble."""
+    members = F.array_distinct(F.flatten(F.transform("_cells", lambda c: F.map_keys(c))))
+    over_cells = F.transform(members, lambda m: _mean(F.filter(F.transform("_cells", lambda c: c[m]), lambda v: v.isNotNull())))
+    single = F.map_values(F.element_at("_cells", 1))
+    ordered = F.array_sort(F.when(F.size("_cells") == 1, single).otherwise(over_cells))
+    listed = values.withColumn("_v", ordered).withColumn("glofas_forecast_mean", _mean(F.col("_v")))
+    spread = F.transform("_v", lambda v: F.pow(v - F.col("glofas_forecast_mean"), F.lit(2.0)))
+    return listed.withColumns({
+        "glofas_forecast_median": _quantile(F.col("_v"), 0.5),
+        "glofas_forecast_std_dev": F.sqrt(_mean(spread)),
+        "glofas_forecast_10th_percentile": _quantile(F.col("_v"), 0.1),
+        "glofas_forecast_90th_percentile": _quantile(F.col("_v"), 0.9),
+    }).drop("_v", "_cells")
 
 
 def _attach(prepared: DataFrame, results: DataFrame, outputs: Sequence[str]) -> DataFrame:
@@ -134,42 +154,32 @@ def _attach(prepared: DataFrame, results: DataFrame, outputs: Sequence[str]) ->
     return prepared.join(results, _PLACE + ["flood_start_date"], "left").select(*keep, "strategy", *outputs)
 
 
-def _extract(events, fc, aggregates, outputs, strategy, cells, domain):
-    prepared = _prepared(events, strategy, buffer_m(F.col("flood_type"), "forecast"))
-    members = _member_values(prepared, fc, cells, domain)
-    return _attach(prepared, members.groupBy(*_PLACE, "flood_start_date").agg(*aggregates(members)), outputs)
-
-
 def forecast_nearest(events: DataFrame, fc: DataFrame, cells: DataFrame | None = None, domain: str = "180") -> DataFrame:
     """Control forecast at the nearest cell and time."""
-    control = fc.where(F.col("product") == "cf")
-    out = _extract(events, control, lambda m: [_control(m)], ["glofas_forecast_control"], F.lit("nearest"), cells, domain)
-    return out.drop("strategy")
+    return _control_only(events, fc, F.lit("nearest"), cells, domain)
 
 
 def forecast_bbox_mean(events: DataFrame, fc: DataFrame, cells: DataFrame | None = None, domain: str = "180") -> DataFrame:
     """Control forecast averaged over the box at the nearest time; nearest cell if the box holds none."""
-    control = fc.where(F.col("product") == "cf")
-    out = _extract(events, control, lambda m: [_control(m)], ["glofas_forecast_control"], F.lit("mean_bbox"), cells, domain)
-    return out.drop("strategy")
+    return _control_only(events, fc, F.lit("mean_bbox"), cells, domain)
+
+
+def _control_only(events, fc, strategy, cells, domain):
+    prepared = _prepared(events, strategy)
+    values = _values_at(prepared, fc.where(F.col("product") == "cf"), cells, domain).drop("_cells")
+    return _attach(prepared, values, ["glofas_forecast_control"]).drop("strategy")
 
 
 def ensemble_stats(events: DataFrame, fc: DataFrame, cells: DataFrame | None = None, domain: str = "180") -> DataFrame:
     """Mean, median, spread and tails over the perturbed members (control member left out)."""
-    perturbed = fc.where(F.col("product") == "pf")
-    out = _extract(
-        events, perturbed, lambda m: _ensemble_columns(), K.FORECAST_FEATURES[1:],
-        spatial_strategy(F.col("flood_type")), cells, domain,
-    )
-    return out.drop("strategy")
+    prepared = _prepared(events, spatial_strategy(F.col("flood_type")))
+    values = _values_at(prepared, fc.where(F.col("product") == "pf"), cells, domain)
+    return _attach(prepared, _with_ensemble(values), K.FORECAST_FEATURES[1:]).drop("strategy")
 
 
 def with_forecast(events: DataFrame, fc: DataFrame, cells: DataFrame | None = None, domain: str = "180") -> DataFrame:
     """Append the six forecast features and the strategy used; null before forecasts began."""
     covered = F.col("flood_start_date") >= F.lit(K.FORECAST_START)
-    prepared = _prepared(
-        events, F.when(covered, spatial_strategy(F.col("flood_type"))), buffer_m(F.col("flood_type"), "forecast")
-    )
-    members = _member_values(prepared.where(covered), fc.where(F.col("product").isin("cf", "pf")), cells, domain)
-    results = members.groupBy(*_PLACE, "flood_start_date").agg(_control(members), *_ensemble_columns())
-    return _attach(prepared, results, K.FORECAST_FEATURES).withColumnRenamed("strategy", "forecast_spatial_strategy")
+    prepared = _prepared(events, F.when(covered, spatial_strategy(F.col("flood_type"))))
+    values = _values_at(prepared.where(covered), fc.where(F.col("product").isin("cf", "pf")), cells, domain)
+    return _attach(prepared, _with_ensemble(values), K.FORECAST_FEATURES).withColumnRenamed("strategy", "forecast_spatial_strategy")

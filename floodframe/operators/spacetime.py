@@ -22,6 +22,7 @@ from floodframe.functions.flood_types import buffer_m
 from floodframe.functions.geo import bbox, cells_in_boxes
 
 _DAY = 86_400
+PLACE = ["latitude", "longitude", "buffer"]
 ANCHOR = ["latitude", "longitude", "flood_start_date", "buffer"]
 
 
@@ -49,10 +50,10 @@ def event_anchors(events: DataFrame, buffer: Column | float | None = None) -> Da
 
 
 def anchor_cells(anchored: DataFrame, cells: DataFrame, step: float = 0.5) -> DataFrame:
-    """Distinct anchors paired with the cells in their boxes."""
+    """Distinct anchors paired with the cells in their boxes; boxes are matched once per place, not per date."""
     anchors = anchored.select(*ANCHOR).distinct().where("latitude IS NOT NULL AND longitude IS NOT NULL")
-    boxes = anchors.withColumns(bbox(F.col("latitude"), F.col("longitude"), F.col("buffer")))
-    return cells_in_boxes(boxes, cells, step).select(*ANCHOR, "cell_id")
+    boxes = anchors.select(*PLACE).distinct().withColumns(bbox(F.col("latitude"), F.col("longitude"), F.col("buffer")))
+    return anchors.join(cells_in_boxes(boxes, cells, step).select(*PLACE, "cell_id"), PLACE)
 
 
 def cell_table(obs: DataFrame) -> DataFrame:
@@ -142,13 +143,13 @@ def window_features(
         rolled = rolled.withColumns(dict(cell_columns))
     rolled = rolled.select("cell_id", "slot", *outputs)
     means = pairs.join(rolled, ["cell_id", "slot"]).groupBy(*ANCHOR).agg(*[F.avg(c).alias(c) for c in outputs])
-    return attach(anchored, means, outputs)
+    return attach(events, anchored, means, outputs)
 
 
-def attach(anchored: DataFrame, means: DataFrame, outputs: Sequence[str]) -> DataFrame:
+def attach(events: DataFrame, anchored: DataFrame, means: DataFrame, outputs: Sequence[str]) -> DataFrame:
     """Rejoin anchor-level results to the events."""
-    keep = [c for c in anchored.columns if c != "buffer" and c not in outputs]
-    return anchored.select(*keep, "buffer").join(means, ANCHOR, "left").select(*keep, *outputs)
+    keep = [c for c in events.columns if c not in outputs]
+    return anchored.drop(*outputs).join(means, ANCHOR, "left").select(*keep, *outputs)
 
 
 # ---- rain, half-hourly rates ---------------------------------------------------------------
@@ -363,7 +364,7 @@ def clear_sky_index_features(
     per_cell = medians.select("cell_id", "flood_start_date", ratio(nir, red).alias("NDVI"), ratio(green, nir).alias("NDWI"))
     outputs = ["NDVI", "NDWI"]
     means = pairs.join(per_cell, ["cell_id", "flood_start_date"]).groupBy(*ANCHOR).agg(*[F.avg(c).alias(c) for c in outputs])
-    return attach(anchored, means, outputs)
+    return attach(events, anchored, means, outputs)
 
 
 # ---- daily rain ------------------------------------------------------------------------------------------

@@ -9,9 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from floodframe.functions.geo import bbox, bucket_of, explode_box_buckets, inside_box, lon_bucket
-from floodframe.operators.spacetime import event_anchors
-
-_PLACE = ["latitude", "longitude", "buffer"]
+from floodframe.operators.spacetime import PLACE as _PLACE, event_anchors
 
 
 def _boxes(events: DataFrame, buffer, step: float) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from floodframe import constants as K
-from floodframe.functions.dates import parse_date_robust, pick_date_column
+from floodframe.functions.dates import date_from_parts, parse_date_robust, pick_date_column
 from floodframe.functions.indices import engineer_features
-from floodframe.operators import cleaning, forecast, negatives, rules, spacetime, zonal
+from floodframe.operators import chunks, cleaning, forecast, negatives, rules, spacetime, zonal
+from floodframe.session import cut_lineage
 from floodframe.sources.sinks import write_enriched
-from pyspark.sql import functions as F
 
 STATIC_MEANS = ("elevation", "slope", "aspect", "gsw_occurrence", "merit_upa")
 
@@ -20,7 +22,6 @@ def load_catalogue(raw: DataFrame) -> DataFrame:
     if "start_date" in columns:
         day = parse_date_robust(F.col(columns["start_date"]))
     elif {"start year", "start month", "start day"} <= set(columns):
-        from floodframe.functions.dates import date_from_parts
         day = date_from_parts(*[F.col(f"`{columns[n]}`") for n in ("start year", "start month", "start day")])
     else:
         day = parse_date_robust(F.col(pick_date_column(raw.columns) or cleaning.detect_date_column(raw)))
@@ -29,7 +30,8 @@ def load_catalogue(raw: DataFrame) -> DataFrame:
 
 
 def training_events(positives: DataFrame) -> DataFrame:
-    """Positives with their later flood days, and negatives before them."""
+    """Positives with their later flood days, and negatives before them; identifiers become text."""
+    positives = positives.withColumn("event_id", F.col("event_id").cast("string"))
     return negatives.combine_events(
         negatives.augment_by_duration(positives), negatives.negatives_time_offset(positives)
     )
@@ -38,22 +40,30 @@ def training_events(positives: DataFrame) -> DataFrame:
 def enrich(events: DataFrame, grids: Mapping[str, DataFrame], now: Column | None = None) -> DataFrame:
     """Append rain, soil, weather, terrain and index features, repaired and checked.
 
+    Every feature family starts from one written table of distinct anchors and the families meet on
+    the anchor key, so no family repeats the work of another.
+
     ``grids`` may hold ``rain`` (with ``source``), ``moisture``, ``weather``, ``images``, ``static``
     and ``land_cover``; the features of a grid that is not given are left out.
     """
-    df = cleaning.with_calendar(events)
+    anchored = spacetime.event_anchors(cleaning.with_calendar(events))
+    anchors = cut_lineage(events.sparkSession, anchored.select(*spacetime.ANCHOR).distinct())
+    own = F.col("buffer")
     steps = {
-        "rain": spacetime.rain_features, "moisture": spacetime.moisture_features,
-        "weather": spacetime.weather_features, "images": spacetime.index_features,
+        "rain": lambda g: spacetime.rain_features(anchors, g, buffer=own),
+        "moisture": lambda g: spacetime.moisture_features(anchors, g, buffer=own),
+        "weather": lambda g: spacetime.weather_features(anchors, g, buffer=own),
+        "images": lambda g: spacetime.index_features(anchors, g, buffer=own),
+        "static": lambda g: zonal.zonal_mean(anchors, g, STATIC_MEANS, own),
+        "land_cover": lambda g: zonal.zonal_fraction(
+            zonal.zonal_mode(anchors, g, "land_cover", own), g, "land_cover", K.URBAN_CLASS, own),
     }
-    for name, step in steps.items():
-        if name in grids:
-            df = step(df, grids[name])
-    if "static" in grids:
-        df = zonal.zonal_mean(df, grids["static"], STATIC_MEANS)
-    if "land_cover" in grids:
-        df = zonal.zonal_mode(df, grids["land_cover"], "land_cover")
-        df = zonal.zonal_fraction(df, grids["land_cover"], "land_cover", K.URBAN_CLASS)
+    parts = [step(grids[name]) for name, step in steps.items() if name in grids]
+    df = anchored
+    if parts:
+        wide = reduce(lambda a, b: a.join(b, spacetime.ANCHOR), parts)
+        df = df.join(wide, spacetime.ANCHOR, "left")
+    df = df.drop("buffer")
     df = engineer_features(df)
     df = rules.null_out_of_range(rules.repair_features(df))
     return rules.quality_flags(df, now=now)
@@ -61,9 +71,7 @@ def enrich(events: DataFrame, grids: Mapping[str, DataFrame], now: Column | None
 
 def enrich_and_write(positives: DataFrame, grids: Mapping[str, DataFrame], path: str, from_month: int = 1) -> None:
     """The whole run: training events, optional continuation, features, stamps, monthly partitions."""
-    from floodframe.operators.chunks import continue_from
-
-    events = continue_from(training_events(positives), from_month)
+    events = chunks.continue_from(training_events(positives), from_month)
     write_enriched(cleaning.with_lineage(enrich(events, grids)), path)
 
 

@@ -53,8 +53,31 @@ def _half_widths(radius: int) -> dict[int, int]:
     return {d: int((radius * radius - d * d) ** 0.5) for d in range(-radius, radius + 1)}
 
 
-def focal_min(df: DataFrame, radius: int, value: str, output: str, layer: Sequence[str] = ()) -> DataFrame:
-    """Minimum over a disc of ``radius`` cells, of the cells present."""
+def _with_gaps(df: DataFrame, places: DataFrame, layer: Sequence[str]) -> DataFrame:
+    """Add empty cells at the given places where the grid has none, marked by a null ``_real``.
+
+    A pass along columns reads what a pass along rows left at the crossing cell, so it must exist.
+    """
+    keys = [*layer, "grid_row", "grid_col"]
+    types = dict(df.dtypes)
+    typed = places.select(*[F.col(k).cast(types[k]).alias(k) for k in keys])
+    absent = typed.join(df.select(*keys), keys, "left_anti")
+    return df.withColumn("_real", F.lit(True)).unionByName(absent, allowMissingColumns=True)
+
+
+def _above_and_below(df: DataFrame, radius: int, layer: Sequence[str]) -> DataFrame:
+    offsets = F.array(*[F.lit(d) for d in range(-radius, radius + 1)])
+    shifted = df.select(*layer, "grid_row", "grid_col", F.explode(offsets).alias("_d"))
+    return shifted.select(*layer, (F.col("grid_row") + F.col("_d")).alias("grid_row"), "grid_col").distinct()
+
+
+def focal_min(
+    df: DataFrame, radius: int, value: str, output: str, layer: Sequence[str] = (), gaps: bool = True
+) -> DataFrame:
+    """Minimum over a disc of ``radius`` cells, of the cells present. ``gaps=False`` for a full rectangle of cells."""
+    if gaps:
+        filled = focal_min(_with_gaps(df, _above_and_below(df, radius, layer), layer), radius, value, output, layer, False)
+        return filled.where("_real").drop("_real")
     widths = _half_widths(radius)
     row, col = _along_row(layer), _along_col(layer)
     across = df.withColumns({f"_m{w}": F.min(value).over(row.rangeBetween(-w, w)) for w in set(widths.values())})
@@ -62,8 +85,13 @@ def focal_min(df: DataFrame, radius: int, value: str, output: str, layer: Sequen
     return across.withColumn(output, F.least(*parts) if len(parts) > 1 else parts[0]).drop(*[f"_m{w}" for w in set(widths.values())])
 
 
-def focal_mean(df: DataFrame, radius: int, value: str, output: str, layer: Sequence[str] = ()) -> DataFrame:
-    """Mean over a disc of ``radius`` cells, of the cells present."""
+def focal_mean(
+    df: DataFrame, radius: int, value: str, output: str, layer: Sequence[str] = (), gaps: bool = True
+) -> DataFrame:
+    """Mean over a disc of ``radius`` cells, of the cells present. ``gaps=False`` for a full rectangle of cells."""
+    if gaps:
+        filled = focal_mean(_with_gaps(df, _above_and_below(df, radius, layer), layer), radius, value, output, layer, False)
+        return filled.where("_real").drop("_real")
     widths = _half_widths(radius)
     row, col = _along_row(layer), _along_col(layer)
     names = {}
@@ -78,7 +106,7 @@ def focal_mean(df: DataFrame, radius: int, value: str, output: str, layer: Seque
 
 def terrain_features(
     df: DataFrame, elevation: str = "elevation", cell_size: float = 30.0, layer: Sequence[str] = (),
-    threshold: float = K.CHANNEL_FLOW_THRESHOLD, fill_radius: int = 1, flow_radius: int = 2,
+    threshold: float = K.CHANNEL_FLOW_THRESHOLD, fill_radius: int = 1, flow_radius: int = 2, gaps: bool = True,
 ) -> DataFrame:
     """Slope, aspect, a flow proxy, wetness index and channel mask from an elevation grid.
 
@@ -95,7 +123,8 @@ def terrain_features(
         "slope": F.degrees(F.atan(F.sqrt(gx * gx + gy * gy))),
         "aspect": F.pmod(F.degrees(F.atan2(-gx, -gy)), F.lit(360.0)),
     }).drop("_gx", "_gy")
-    flow = focal_mean(focal_min(sloped, fill_radius, elevation, "_filled", layer), flow_radius, "_filled", "flow", layer)
+    low = focal_min(sloped, fill_radius, elevation, "_filled", layer, gaps)
+    flow = focal_mean(low, flow_radius, "_filled", "flow", layer, gaps)
     steep = F.greatest(F.tan(F.radians("slope")), F.lit(0.001))
     return flow.withColumns({
         "wetness": F.when(F.col("slope").isNotNull() & (F.col("flow") > 0), F.log(F.col("flow") / steep)),
@@ -126,18 +155,27 @@ def _envelope(rows: np.ndarray, cost: np.ndarray) -> np.ndarray:
 
 def distance_to_nearest(
     df: DataFrame, target: str, output: str = "distance", cell_size: float = 1.0, layer: Sequence[str] = (),
+    gaps: bool = True,
 ) -> DataFrame:
     """Straight-line distance from every cell to the nearest cell where ``target`` holds; null without any.
 
     Exact and linear in the number of cells: nearest target along each row by window functions,
-    then a lower envelope down each column. A task holds one column of the grid.
+    then a lower envelope down each column. A task holds one column of the grid. With ``gaps``, rows
+    that have a target are completed to the grid's width first.
     """
     layer = list(layer)
     row = _along_row(layer)
+    cells = df
+    if gaps:
+        width = df.groupBy(*layer).agg(F.struct(F.min("grid_col").alias("a"), F.max("grid_col").alias("b")).alias("_w"))
+        lines = df.where(F.col(target).cast("boolean")).select(*layer, "grid_row").distinct()
+        lines = lines.join(width, layer) if layer else lines.withColumn("_w", width.scalar())
+        whole = lines.select(*layer, "grid_row", F.explode(F.sequence("_w.a", "_w.b")).alias("grid_col"))
+        cells = _with_gaps(df.select(*layer, "grid_row", "grid_col", target), whole, layer)
     here = F.when(F.col(target).cast("boolean"), F.col("grid_col"))
     left = F.last(here, ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0))
     right = F.first(here, ignorenulls=True).over(row.rowsBetween(0, Window.unboundedFollowing))
-    along = df.withColumn("_g", F.least(F.col("grid_col") - left, right - F.col("grid_col")).cast("double"))
+    along = cells.withColumn("_g", F.least(F.col("grid_col") - left, right - F.col("grid_col")).cast("double"))
 
     keys = layer + ["grid_row", "grid_col"]
     types = dict(df.dtypes)

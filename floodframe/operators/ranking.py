@@ -4,7 +4,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_SLICE_BITS = 8
+from floodframe.session import cut_lineage
+
+_SLICE_BITS = 10
 
 
 def _slice_number(value: Column, cuts: Column) -> Column:
@@ -22,9 +24,11 @@ def running_totals(
 
     ``df`` holds one row per ``(by, order_col)``. Approximate quantiles only choose the slice
     boundaries, so that slices are about equal however the values are distributed; each slice is
-    scanned on its own and gets the exact total of the slices before it.
+    scanned on its own and gets the exact total of the slices before it. ``df`` is read three times,
+    so it is written out first.
     """
     by = list(by)
+    df = cut_lineage(df.sparkSession, df)
     slices = 1 << _SLICE_BITS
     marks = [i / slices for i in range(1, slices)]
     cuts = df.groupBy(*by).agg(F.percentile_approx(order_col, marks, 10_000).alias("_cuts"))
@@ -34,7 +38,7 @@ def running_totals(
     inner = sliced.select("*", *[F.coalesce(F.sum(m).over(within), F.lit(0)).alias(f"_{m}_in") for m in measures])
 
     sums = sliced.groupBy(*by, "_slice").agg(*[F.sum(m).alias(f"_{m}_sum") for m in measures])
-    group = Window.partitionBy(*(by or [F.lit(0)]))  # at most 256 rows per group
+    group = Window.partitionBy(*(by or [F.lit(0)]))  # at most 1024 rows per group
     ahead = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         *by, "_slice",
@@ -48,43 +52,63 @@ def running_totals(
     )
 
 
+_SKETCH = 10_000
+_MARGIN = 3 / _SKETCH
+
+
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles: one row per ``(by, column_name)`` with ``q0, q1, ...``.
 
-    Values are counted first, so ties cost nothing and no task sees a whole column.
+    A sketch brackets each quantile first. Values below a bracket are only counted; the values inside,
+    a few per ten thousand, are ranked. Small groups are ranked whole.
     """
     by = list(by)
-    pairs = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns
-    ])
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    values = df.select(*by, *[number(c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    marks = [m for p in probabilities for m in (max(0.0, p - _MARGIN), min(1.0, p + _MARGIN))]
+    sketch = values.groupBy(*by).agg(F.struct(*[
+        F.struct(
+            F.count(f"_v{i}").alias("n"), F.min(f"_v{i}").alias("lo"), F.max(f"_v{i}").alias("hi"),
+            F.percentile_approx(f"_v{i}", marks, _SKETCH).alias("q"),
+        ).alias(f"_s{i}")
+        for i in range(len(columns))
+    ]).alias("_s"))
+    sketch = cut_lineage(df.sparkSession, sketch)  # one row per group, used by both passes below
+    keyed = values.join(sketch, by) if by else values.withColumn("_s", sketch.select("_s").scalar())
+
+    inside, below = [], []
+    for i in range(len(columns)):
+        v, s = F.col(f"_v{i}"), F.col(f"_s._s{i}")
+        for k in range(len(probabilities)):
+            few = s["n"] <= _SKETCH
+            lo, hi = F.when(few, s["lo"]).otherwise(s["q"][2 * k]), F.when(few, s["hi"]).otherwise(s["q"][2 * k + 1])
+            key = i * len(probabilities) + k
+            inside.append(F.when(v.between(lo, hi), F.struct(F.lit(key).alias("key"), v.alias("value"))))
+            below.append(F.struct(F.lit(key).alias("key"), F.count_if(v < lo).alias("below"), F.count(v).alias("total")).alias(f"_b{key}"))
     counted = (
-        df.select(*by, F.explode(pairs).alias("_p"))
-        .select(*by, "_p.*")
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy(*by, "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+        keyed.select(*by, F.explode(F.array_compact(F.array(*inside))).alias("_p")).select(*by, "_p.*")
+        .groupBy(*by, "key", "value").agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = running_totals(counted, "value", ["n"], by + ["column_name"])
+    offsets = keyed.groupBy(*by).agg(*below).select(*by, F.inline(F.array(*[F.col(f"_b{k}") for k in range(len(below))])))
+    ranked = running_totals(counted, "value", ["n"], by + ["key"]).join(offsets, by + ["key"])
+
+    chance = F.element_at(F.array(*[F.lit(float(p)) for p in probabilities]), F.pmod("key", F.lit(len(probabilities))) + 1)
+    position = chance * (F.col("total") - 1)
+    first = F.col("below") + F.col("n_before")
 
     def value_at(rank):
-        hit = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
-        return F.max(F.when(hit, F.col("value")))
-
-    aggregates = [F.max("n_total").alias("n")]
-    for i, p in enumerate(probabilities):
-        position = F.lit(float(p)) * (F.col("n_total") - 1)
-        aggregates += [
-            value_at(F.floor(position)).alias(f"_lo{i}"),
-            value_at(F.ceil(position)).alias(f"_hi{i}"),
-            F.max(position - F.floor(position)).alias(f"_f{i}"),
-        ]
-    return ranked.groupBy(*by, "column_name").agg(*aggregates).select(
-        *by, "column_name", "n",
-        *[
-            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(f"q{i}")
-            for i in range(len(probabilities))
-        ],
+        return F.max(F.when((first <= rank) & (rank < first + F.col("n")), F.col("value")))
+
+    found = ranked.groupBy(*by, "key", "total").agg(
+        value_at(F.floor(position)).alias("_lo"), value_at(F.ceil(position)).alias("_hi")
+    ).withColumn("q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (position - F.floor(position)))
+    names = F.array(*[F.lit(c) for c in columns])
+    which = F.element_at(names, F.floor(F.col("key") / len(probabilities)).cast("int") + 1)
+    return found.groupBy(*by, which.alias("column_name")).agg(
+        F.max("total").alias("n"),
+        *[F.max(F.when(F.pmod("key", F.lit(len(probabilities))) == k, F.col("q"))).alias(f"q{k}") for k in range(len(probabilities))],
     )
 
 

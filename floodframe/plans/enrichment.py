@@ -82,4 +82,5 @@ def attach_forecasts(raw: DataFrame, fc: DataFrame, domain: str = "180") -> Data
         raise ValueError("no start-date column found")
     dated = raw.withColumn("flood_start_date", parse_date_robust(F.col(day).cast("string")))
     usable = cleaning.filter_bad_periods(dated.where(F.col("flood_start_date").isNotNull()))
+    usable = cut_lineage(raw.sparkSession, usable)  # read several times below; parse the text once
     return cleaning.drop_leaky(forecast.with_forecast(usable, fc, domain=domain))

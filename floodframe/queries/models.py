@@ -320,7 +320,7 @@ def _(x):
 
 @query("report_summary", f"""
 SELECT {_named({'avg_risk_score': 'avg(Final_Risk_Score)', 'max_risk_score': 'max(Final_Risk_Score)', 'avg_risk_lower_90': 'avg(Risk_Lower_90)',
-  'avg_risk_upper_90': 'avg(Risk_Upper_90)', 'avg_uncertainty': 'avg(Risk_Upper_90 - Risk_Lower_90)', 'high_risk_area_pct': 'avg(CASE WHEN Final_Risk_Score >= 0.5 THEN 1 ELSE 0 END) * 100'}, 5)},
+  'avg_risk_upper_90': 'avg(Risk_Upper_90)', 'avg_uncertainty': 'avg(Risk_Upper_90 - Risk_Lower_90)', 'high_risk_area_pct': 'avg(CASE WHEN Final_Risk_Score >= 0.5 THEN 1 ELSE 0 END) * 100'}, 8)},
   0.5E0 AS operating_threshold, (SELECT mode(t ORDER BY t) FROM (SELECT CASE Land_Cover WHEN 10 THEN 'Trees' WHEN 20 THEN 'Shrubland' WHEN 30 THEN 'Grassland' WHEN 40 THEN 'Cropland'
   WHEN 50 THEN 'Built-up' WHEN 60 THEN 'Bare/Sparse vegetation' WHEN 70 THEN 'Snow/Ice' WHEN 80 THEN 'Water' WHEN 90 THEN 'Wetland' WHEN 100 THEN 'Moss/Lichen' ELSE 'Unknown' END AS t FROM fx_scored) AS l) AS dominant_land_cover
 FROM fx_scored
@@ -328,7 +328,7 @@ FROM fx_scored
 def _(x):
     from floodframe.operators.cleaning import with_land_cover_type
 
-    return rounded(scoring.report_summary(with_land_cover_type(x.fx_scored)), 5)
+    return rounded(scoring.report_summary(with_land_cover_type(x.fx_scored)), 8)
 
 
 @query("priority_shares", f'SELECT "Operational_Priority", {r("count(*) / (SELECT count(*) FROM fx_scored)")} AS share FROM ({_PRIORITY}) AS p GROUP BY 1')

@@ -534,3 +534,10 @@ def _(x):
     near = local.local_samples(place, events, F.lit("2009-01-01").cast("date"), radius_km=3000.0)
     _, _, quality = train.local_expert(near, ["days", "lat"], "event_id", "label", "linear", maxIter=5)
     return x.spark.createDataFrame([{k: float(v) if k != "reason" else str(v) for k, v in quality.items()}])
+
+
+@query("training_run")
+def _(x):
+    df = _training_rows(x).withColumn("x1", F.when(F.col("x2") > 3, F.col("x1")))
+    run = training.run_training(df, ["x1", "x2", "p_a", "p_c"], "label", "row_id", 2, 0.2, _SMALL)
+    return rounded(run["holdout"])

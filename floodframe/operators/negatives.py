@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from floodframe import constants as K
 from floodframe.functions.geo import bucket_of, mercator_xy, point_in_ring
 from floodframe.operators.ranking import running_totals
+from floodframe.session import cut_lineage
 
 
 def negatives_time_offset(
@@ -67,37 +68,59 @@ def combine_events(*frames: DataFrame, day: str = "flood_start_date") -> DataFra
 def exclude_within(df: DataFrame, positives: DataFrame, metres: float = K.NEGATIVE_EXCLUSION_M) -> DataFrame:
     """Drop rows lying within ``metres`` of any positive, measured on the Web-Mercator plane.
 
-    Squares of the exclusion size key the join: a positive is copied to the squares it can reach,
-    a candidate stays in its own. Positives at one place count once. Candidates sharing a small
-    square with a positive are certainly too close, so they leave before any distances are compared.
+    Distinct candidate places are compared with occupied squares of shrinking size, not with the
+    positives in them. A square wholly within reach settles the place, one wholly out of reach is
+    dropped, and only squares cut by the circle are opened, down to the positives themselves. So a
+    crowded spot costs a place no more than a bounded number of squares per step.
     """
     names = df.columns
-    small = metres / 1.5  # diagonal below the radius
     x, y = mercator_xy(F.col("latitude"), F.col("longitude"))
-    keyed = df.withColumns({"_x": x, "_y": y}).withColumns({
-        "_bx": bucket_of(F.col("_x"), metres), "_by": bucket_of(F.col("_y"), metres),
-        "_sx": bucket_of(F.col("_x"), small), "_sy": bucket_of(F.col("_y"), small),
-    })
-    places = (
-        positives.select("latitude", "longitude").where("latitude IS NOT NULL AND longitude IS NOT NULL").distinct()
-        .select(x.alias("_px"), y.alias("_py"))
-    )
-    crowded = places.select(
-        bucket_of(F.col("_px"), small).alias("_sx"), bucket_of(F.col("_py"), small).alias("_sy")
-    ).distinct()
+    located = df.withColumns({"_x": x, "_y": y})
+    known = "latitude IS NOT NULL AND longitude IS NOT NULL"
+    points = positives.where(known).select(x.alias("_px"), y.alias("_py")).distinct()
+    open_pairs = located.where(known).select("_x", "_y").distinct()
+
+    near, step = [], metres
+    # candidates meet the squares of their own and the eight neighbouring buckets
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    reach = (
-        places.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
-        .select(
-            "_px", "_py",
-            (bucket_of(F.col("_px"), metres) + F.col("_dx")).alias("_bx"),
-            (bucket_of(F.col("_py"), metres) + F.col("_dy")).alias("_by"),
-        )
+    open_pairs = (
+        open_pairs.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
+        .select("_x", "_y", (bucket_of(F.col("_x"), step) + F.col("_dx")).alias("_i"), (bucket_of(F.col("_y"), step) + F.col("_dy")).alias("_j"))
     )
-    near = F.pow(F.col("_x") - F.col("_px"), 2.0) + F.pow(F.col("_y") - F.col("_py"), 2.0) <= metres * metres
-    left = keyed.join(crowded, ["_sx", "_sy"], "left_anti")
-    same = (left["_bx"] == reach["_bx"]) & (left["_by"] == reach["_by"])
-    return left.join(reach, same & near, "left_anti").select(*names)
+    for level, split in enumerate(_SPLITS, start=1):
+        inner = step / split
+        squares = points.select(
+            bucket_of(F.col("_px"), step).alias("_i"), bucket_of(F.col("_py"), step).alias("_j"),
+            bucket_of(F.col("_px"), inner).alias("_k"), bucket_of(F.col("_py"), inner).alias("_l"),
+        ).distinct()
+        across, along = _square_reach(F.col("_x"), F.col("_k"), inner), _square_reach(F.col("_y"), F.col("_l"), inner)
+        touched = open_pairs.join(squares, ["_i", "_j"]).select(
+            "_x", "_y", F.col("_k").alias("_i"), F.col("_l").alias("_j"),
+            (across[0] + along[0]).alias("_lo"), (across[1] + along[1]).alias("_hi"),
+        ).where(F.col("_lo") <= metres * metres)
+        settled = touched.where(F.col("_hi") <= metres * metres).select("_x", "_y").distinct()
+        near.append(settled)
+        open_pairs = touched.where(F.col("_hi") > metres * metres).join(settled, ["_x", "_y"], "left_anti").select("_x", "_y", "_i", "_j")
+        step = inner
+        if level < len(_SPLITS):
+            open_pairs = cut_lineage(df.sparkSession, open_pairs)
+    last = points.withColumns({"_i": bucket_of(F.col("_px"), step), "_j": bucket_of(F.col("_py"), step)})
+    apart = F.pow(F.col("_x") - F.col("_px"), 2.0) + F.pow(F.col("_y") - F.col("_py"), 2.0)
+    near.append(open_pairs.join(last, ["_i", "_j"]).where(apart <= metres * metres).select("_x", "_y").distinct())
+    excluded = reduce(DataFrame.unionByName, near).distinct()
+    return located.join(excluded, ["_x", "_y"], "left_anti").select(*names)
+
+
+_SPLITS = (16, 16)  # squares per side of the square before
+
+
+def _square_reach(v, index, size: float):
+    """Squared distance along one axis from ``v`` to the nearest and farthest edge of a square, a hair wide for rounding."""
+    low, high = index * size, (index + 1) * size
+    slack = size * 1e-6
+    gap = F.greatest(low - v, v - high, F.lit(0.0))
+    far = F.greatest(F.abs(v - low), F.abs(v - high))
+    return F.pow(F.greatest(gap - slack, F.lit(0.0)), F.lit(2.0)), F.pow(far + slack, F.lit(2.0))
 
 
 def polygon_table(polygons: DataFrame) -> DataFrame:

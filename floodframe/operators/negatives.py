@@ -193,7 +193,7 @@ def negatives_spatial(
 def _weighted_line(table: DataFrame):
     """Polygons laid end to end by weight, keyed by the slots each stretch touches.
 
-    Polygons are a reference table of a few hundred rows, so one running sum places them.
+    Polygons are a look-up table of a few hundred rows, so one running sum places them.
     """
     order = Window.orderBy("country_code", "x_min", "y_min", F.size("ring"))
     total = table.agg(F.sum("area")).first()[0] or 0.0

@@ -15,6 +15,8 @@ ORACLE: dict[str, str] = {}
 FIXTURES: dict[str, str | tuple[str, str]] = {}
 
 _NAME = re.compile(r"\{(\w+)\}")
+# DuckDB's date parts are BIGINT, Spark's INT
+_DATE_PART = re.compile(r"\b(year|month|day|dayofyear)\(([^()]*(?:\([^()]*\)[^()]*)*)\)")
 
 
 def query(name: str, sql: str | None = None):
@@ -25,7 +27,7 @@ def query(name: str, sql: str | None = None):
             return fn(Inputs(spark, sf_dir))
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = with_fixtures(sql)
+            ORACLE[name] = _DATE_PART.sub(r"CAST(\1(\2) AS INT)", with_fixtures(sql))
         return fn
     return add
 

@@ -529,7 +529,7 @@ def _(x):
 
 @query("local_expert")
 def _(x):
-    place = x.fx_preds.limit(0).sparkSession.range(1).select(F.lit(1).alias("target_id"), F.lit(0.0).alias("latitude"), F.lit(0.0).alias("longitude"))
+    place = x.spark.range(1).select(F.lit(1).alias("target_id"), F.lit(0.0).alias("latitude"), F.lit(0.0).alias("longitude"))
     events = x.fx_events.withColumns({"label": (F.col("event_id") % 4 == 0).cast("int"), "days": F.col("flood_duration_days").cast("double"), "lat": F.col("latitude")})
     near = local.local_samples(place, events, F.lit("2009-01-01").cast("date"), radius_km=3000.0)
     _, _, quality = train.local_expert(near, ["days", "lat"], "event_id", "label", "linear", maxIter=5)

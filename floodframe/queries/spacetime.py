@@ -409,11 +409,11 @@ def _(x):
     return rounded(out.select("event_id", *K.FORECAST_FEATURES[1:]), 4)
 
 
-@query("pick_forecast_variable", f"SELECT cell_id, ts, member, {r('value', 4)} AS value FROM fx_forecast")
+@query("pick_forecast_variable", f"SELECT cell_id, CAST(ts AS DATE) AS day, member, {r('value', 4)} AS value FROM fx_forecast")
 def _(x):
     other = x.fx_forecast.withColumns({"variable": F.lit("swe"), "value": F.lit(0.0)})
     picked = forecast.pick_variable(other.unionByName(x.fx_forecast))
-    return rounded(picked.select("cell_id", "ts", "member", "value"), 4)
+    return rounded(picked.select("cell_id", F.to_date("ts").alias("day"), "member", "value"), 4)
 
 
 @query("control_and_perturbed", "SELECT product, count(*) AS n FROM fx_forecast GROUP BY product")

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
-from floodframe.llm import classifier, decontaminate, packing, rules, token_files, urls
+from floodframe.llm import classifier, decontaminate, lm, packing, rules, token_files, urls
 from floodframe.llm.common import prepare, scratch_path, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -43,6 +43,14 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, listed)
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    scored = lm.score(docs, lm.fit(docs.where(lm.remainder(F.col("doc_id")) != 2)))
+    held_out = F.coalesce(lm.remainder(F.col("doc_id")) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
@@ -50,7 +58,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op5_pack, op6_token_files, op8_url_filter, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op5_pack, op6_token_files, op8_url_filter, op9_lm_score, op10_quality_classifier)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -95,19 +95,40 @@ def find_items(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_byt
     blocks of ``block_bytes`` of text; each further block is another pass over the documents.
     """
     spark = docs.sparkSession
-    size = benchmark.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = -(-size // block_bytes) or 1
-    items = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block"))
     out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"),
                       F.expr("cast(array() as array<string>)").alias("item_ids"), F.expr(f"cast(array() as {_SPANS})").alias("spans"))
     schema = out.schema
+    for k, held in enumerate(_blocks(benchmark, width, block_bytes)):
+        out = (cut_lineage(spark, out) if k else out).mapInArrow(_searcher(held), schema)
+    return out.drop("text")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` without any occurrence of a benchmark item, with all their columns."""
+    def cleaner(held):
+        def run(batches):
+            for batch in batches:
+                w = W.scan(batch.column(batch.schema.names.index("text")), W.ALNUM, lower=True)
+                hit = [last for t in held.value for last, _ in t.search(w)]
+                keep = np.ones(batch.num_rows, bool)
+                keep[np.searchsorted(w.first, np.array(hit, np.int64), "right") - 1] = False
+                yield batch.filter(pa.array(keep))
+        return run
+
+    out = docs
+    for held in _blocks(benchmark, width, block_bytes):
+        out = out.mapInArrow(cleaner(held), docs.schema)
+    return out
+
+
+def _blocks(benchmark: DataFrame, width: int, block_bytes: int):
+    """Broadcast tables of the benchmark's patterns, block by block of about ``block_bytes`` of text."""
+    size = benchmark.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    blocks = -(-size // block_bytes) or 1
+    items = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block"))
     for k in range(blocks):
         rows = [(r["item_id"], r["text"]) for r in items.where(F.col("block") == k).collect()]
-        held = spark.sparkContext.broadcast(compile_patterns(rows, width))
-        out = out.mapInArrow(_searcher(held), schema)
-        if k + 1 < blocks:
-            out = cut_lineage(spark, out)
-    return out.drop("text")
+        yield benchmark.sparkSession.sparkContext.broadcast(compile_patterns(rows, width))
 
 
 def _searcher(held):

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
-from floodframe.llm import classifier, decontaminate, lm, packing, rules, token_files, urls
+from floodframe.llm import classifier, decontaminate, lm, neardup, packing, passages, rules, token_files, urls
 from floodframe.llm.common import prepare, scratch_path, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -23,6 +23,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
@@ -58,7 +68,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op5_pack, op6_token_files, op8_url_filter, op9_lm_score, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_repeated_passages, op4_near_duplicates, op5_pack, op6_token_files, op8_url_filter, op9_lm_score, op10_quality_classifier)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
-from floodframe.llm import classifier, decontaminate, lm, neardup, packing, passages, rules, token_files, urls
+from floodframe.llm import classifier, decontaminate, licences, lm, neardup, packing, passages, rules, token_files, urls
 from floodframe.llm.common import prepare, scratch_path, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -45,6 +45,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(spark, path)
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     pages = table(spark, sf_dir, "pages")
@@ -68,7 +73,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_repeated_passages, op4_near_duplicates, op5_pack, op6_token_files, op8_url_filter, op9_lm_score, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_repeated_passages, op4_near_duplicates, op5_pack, op6_token_files, op7_licences, op8_url_filter, op9_lm_score, op10_quality_classifier)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -90,6 +95,7 @@ ORACLE = {
                CAST(coalesce(len(item_ids), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(item_ids, ','), '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op7_licences": licences.oracle(),
     "op8_url_filter": f"""
         WITH p AS (
             SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,

@@ -56,8 +56,8 @@ def layout(data: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     place = (np.arange(first[-1]) - first[doc]) * step
     at = texts[doc][:, None] + place[:, None] + np.arange(CHUNK)
     inside = at < texts[doc + 1][:, None]
-    padded = np.concatenate([data, np.zeros(1, np.uint8)])
-    return np.where(inside, padded[np.minimum(at, len(data))], _PAD).astype(np.int16), first
+    padded = np.append(data.astype(np.int16), np.int16(_PAD))
+    return padded[np.where(inside, at, len(data))], first
 
 
 def readings(model: dict, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -6,8 +6,8 @@ Registers of a union are the maxima of both sides' registers, and two documents
 overlap. Bands of registers propose pairs, a joint likelihood over the registers and both set sizes drops hopeless ones, and the full
 sets decide: linked if 100 * |A and B| >= 80 * |A or B|. A link at 0.8 shares no band with probability 4e-9.
 
-Skew. Equal sets are one node from the start. A band's documents are first compared with single documents of the band; what is
-connected by then needs no further pair. Only pairs of a band that are still in different components are listed, and compared all.
+Skew. Equal sets are one node from the start. In each round a document is compared with one centre of its bands; what is connected by
+then needs no further comparison. What shares a band but no component after ``STAR_ROUNDS`` is compared whole, in blocks of documents.
 
 Defined results: null, empty and wordless texts have an empty set, are linked with nothing and kept; one word is one shingle; rows
 with a null id are linked with nothing and kept; rows that share an id are one document (linked even if their texts differ); ties go
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from floodframe.llm import words as W
 from floodframe.llm.common import bounded, cut_lineage
-from floodframe.operators.zones import connected_components
+from floodframe.llm.graph import components
 
 U64 = np.uint64
 _MASK = (1 << 64) - 1
@@ -30,8 +30,10 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 LINK = 80  # percent
 #: A pair estimated below this similarity is not compared: more than eight standard errors under the link.
 LEAST_ESTIMATE = 0.65
-#: Rounds of comparisons with single documents of each band before remaining pairs are listed.
-STAR_ROUNDS = 3
+#: Rounds of comparisons with single documents of each band before the rest is compared in blocks.
+STAR_ROUNDS = 2
+#: Bytes of text of a block, and documents that visit one copy of it.
+BLOCK_BYTES, VISITORS = 2 << 20, 2000
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -112,48 +114,92 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (low + high) / 2
 
 
-def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose registers and sizes allow a link."""
-    side = lambda x: nodes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
-    joined = pairs.join(side("a"), "a").where("n_a > 0").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {LINK} * greatest(n_a, n_b)")
+def _confirmed(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs whose full sets are linked; those whose sizes or registers allow no link are not compared."""
+    side = lambda x: known.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n_shingles", "registers", "text")])
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(f"r_{x}").to_pylist()), np.uint16).reshape(-1, REGISTERS) for x in "ab")
-                likely = estimate(a, b, batch.column("n_a").to_numpy().astype(float), batch.column("n_b").to_numpy().astype(float))
-                yield batch.select(["a", "b"]).filter(pa.array(likely >= LEAST_ESTIMATE))
-
-    return joined.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, pairs.select("a", "b").schema)
+                a, b = (np.frombuffer(b"".join(batch.column(f"registers_{x}").to_pylist()), np.uint16).reshape(-1, REGISTERS) for x in "ab")
+                likely = estimate(a, b, batch.column("n_shingles_a").to_numpy().astype(float), batch.column("n_shingles_b").to_numpy().astype(float))
+                batch = batch.filter(pa.array(likely >= LEAST_ESTIMATE))
+                yield batch.select(["a", "b"]).filter(pa.array(_linked(batch.column("text_a"), batch.column("text_b"))))
 
+    columns = ["a", "b", *[f"{c}_{x}" for x in "ab" for c in ("n_shingles", "registers", "text")]]
+    return joined.select(columns).mapInArrow(run, pairs.select("a", "b").schema)
 
-def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose full sets are linked."""
-    side = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
 
-    def run(batches):
-        for batch in batches:
-            (x, at_x), (y, at_y) = (shingle_sets(batch.column(f"t_{s}")) for s in "ab")
-            row = np.concatenate([np.repeat(np.arange(batch.num_rows), np.diff(f)) for f in (at_x, at_y)])
-            own = W.join(np.concatenate([x, y]), row.astype(U64))
-            order = np.argsort(own)
-            twice = order[1:][own[order[1:]] == own[order[:-1]]]
-            both = np.bincount(row[twice], minlength=batch.num_rows)
-            either = np.diff(at_x) + np.diff(at_y) - both
-            yield batch.select(["a", "b"]).filter(pa.array((100 * both >= LINK * either) & (either > 0)))
+def _confirmed_in_blocks(named: DataFrame, known: DataFrame) -> DataFrame:
+    """All links between documents of different labels that share a key of ``named(key, node, label)``.
 
-    return joined.select("a", "b", "t_a", "t_b").mapInArrow(run, pairs.select("a", "b").schema)
+    Documents are dealt to blocks of about ``BLOCK_BYTES`` of text. One that is not of a key's most frequent label is compared with every block
+    that holds a document of the key: a row per document and block instead of one per pair. A block with many such visitors is
+    handed out several times.
+    """
+    spark = named.sparkSession
+    sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = cut_lineage(spark, sizes.groupBy("key").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main")))
+    nodes = cut_lineage(spark, named.select(F.col("node").alias("doc_id"), "label").distinct())
+    texts = cut_lineage(spark, known.select("doc_id", "text").join(bounded(nodes), "doc_id"))
+    blocks = -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES) or 1
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    held = named.select("key", block("node").alias("block")).distinct()
+    visitors = named.join(bounded(main), "key").where("label != main").select("key", F.col("node").alias("doc_id"))
+    visits = cut_lineage(spark, visitors.join(held, "key").select("doc_id", "block").distinct())
+    parts = cut_lineage(spark, visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / VISITORS).alias("parts")))
+    parts = bounded(parts)
+    left = texts.withColumn("block", block("doc_id")).join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    right = visits.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts"))).drop("parts").join(
+        texts.select("doc_id", F.col("text").alias("own_text"), F.col("label").alias("own_label")), "doc_id").withColumnRenamed("doc_id", "own_id")
+    kind = known.schema["doc_id"].dataType.simpleString()
+
+    def run(block_docs, visiting):
+        (x, at_x), (y, at_y) = (shingle_sets(t.column(c).combine_chunks()) for t, c in ((block_docs, "text"), (visiting, "own_text")))
+        doc = np.repeat(np.arange(len(at_x) - 1), np.diff(at_x))
+        order = np.argsort(x, kind="stable")
+        x, doc = x[order], doc[order]
+        low, high = np.searchsorted(x, y), np.searchsorted(x, y, "right")
+        size, label = np.diff(at_x), block_docs.column("label").to_numpy()
+        found = ([], [])
+        for k, own in enumerate(visiting.column("own_label").to_numpy()):
+            a, b = low[at_y[k]:at_y[k + 1]], high[at_y[k]:at_y[k + 1]]
+            length = b - a
+            stop = np.cumsum(length)
+            hits = doc[np.repeat(b - stop, length) + np.arange(stop[-1] if len(stop) else 0)]
+            both = np.bincount(hits, minlength=len(size))
+            linked = np.flatnonzero((100 * both >= LINK * (size + len(a) - both)) & (both > 0) & (label != own))
+            found[0].append(np.full(len(linked), k))
+            found[1].append(linked)
+        a = visiting.column("own_id").combine_chunks().take(pa.array(np.concatenate(found[0]).astype(np.int64)))
+        b = block_docs.column("doc_id").combine_chunks().take(pa.array(np.concatenate(found[1]).astype(np.int64)))
+        return pa.table({"a": a, "b": b})
+
+    left, right = left.select("block", "part", "doc_id", "text", "label"), right.select("block", "part", "own_id", "own_text", "own_label")
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, f"a {kind}, b {kind}")
+
+
+def _linked(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Whether the full sets of each row's two texts are linked."""
+    (x, at_x), (y, at_y) = shingle_sets(a), shingle_sets(b)
+    row = np.concatenate([np.repeat(np.arange(len(a)), np.diff(f)) for f in (at_x, at_y)])
+    own = W.join(np.concatenate([x, y]), row.astype(U64))
+    order = np.argsort(own)
+    twice = order[1:][own[order[1:]] == own[order[:-1]]]
+    both = np.bincount(row[twice], minlength=len(a))
+    either = np.diff(at_x) + np.diff(at_y) - both
+    return (100 * both >= LINK * either) & (either > 0)
 
 
 def _members(nodes: DataFrame) -> DataFrame:
-    """(band key, node) of all keys that two nodes or more share. The first pass only counts, so a key of any size is a sum."""
+    """(band key, node, its set's size) of all keys that two nodes or more share. The first pass only counts, so a key of any size is a sum."""
     width = 2 * ROWS
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
-    rows = nodes.select("doc_id", "registers", band).select(
-        F.expr(f"xxhash64(band, substring(registers, band * {width} + 1, {width}))").alias("key"), F.col("doc_id").alias("node"))
+    rows = nodes.select("doc_id", "n_shingles", "registers", band).select(
+        F.expr(f"xxhash64(band, substring(registers, band * {width} + 1, {width}))").alias("key"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
     shared = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
-    return rows.join(shared, "key")
+    return rows.join(bounded(cut_lineage(nodes.sparkSession, shared)), "key")  # written first, so that the join can split a hot key
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -173,39 +219,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies = rows.where("doc_id != node")
     nodes = real.join(bounded(copies.select("doc_id", "h1", "h2").distinct()), ["doc_id", "h1", "h2"], "left_anti")
     members = cut_lineage(spark, _members(nodes))
+    involved = bounded(cut_lineage(spark, members.select(F.col("node").alias("doc_id")).distinct()))
+    known = nodes.select("doc_id", "n_shingles", "registers", "h1", "h2").join(involved, "doc_id", "left_semi")
+    known = cut_lineage(spark, known.join(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi"), "doc_id"))
+
     # rows that share an id but not a text
-    same = copies.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).join(rows.where("doc_id = node").select(F.col("doc_id").alias("b")), "b", "left_semi")
-    links = cut_lineage(spark, same.select("a", "b").distinct())
-    involved = cut_lineage(spark, members.select(F.col("node").alias("doc_id")).distinct())
-    sketched = cut_lineage(spark, nodes.join(bounded(involved), "doc_id", "left_semi").select("doc_id", "n_shingles", "registers"))
-    texts = docs.select("doc_id", "text").join(bounded(involved), "doc_id", "left_semi")
-    tested = spark.createDataFrame([], f"a {kind}, b {kind}")
-
-    labels = _components(links)
-    for turn in range(STAR_ROUNDS + 2):
-        open_keys = _labelled(members, labels)
+    nodes_of = rows.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most")
+    links = cut_lineage(spark, nodes_of.select("doc_id", "a").join(rows.select("doc_id", F.col("node").alias("b")), "doc_id").where("a != b").select("a", "b").distinct())
+    labels = components(links)
+    for turn in range(STAR_ROUNDS + 1):
+        named = _labelled(members, labels)
         if turn:
-            mixed = open_keys.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-            open_keys = cut_lineage(spark, open_keys.join(mixed, "key"))
-            if open_keys.isEmpty():
+            mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
+            named = cut_lineage(spark, named.join(bounded(cut_lineage(spark, mixed)), "key"))
+            if named.isEmpty():
                 break
-        if turn <= STAR_ROUNDS:
-            rank = F.xxhash64("node", F.lit(turn)) if turn > 1 else F.col("node")
-            order = F.struct(rank.alias("rank"), "node", "label")
-            centre = open_keys.groupBy("key").agg(F.min(order).alias("c")).select("key", "c.node", "c.label").toDF("key", "centre", "centre_label")
-            pairs = open_keys.join(centre, "key").where("label != centre_label")
-            if turn == 0:  # each document with one other
-                pairs = pairs.groupBy("node").agg(F.min("centre").alias("centre"))
+        if turn < STAR_ROUNDS:  # each document with that one of its bands' centres it shares most bands with
+            rank = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
+            centre = named.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "label")).alias("c")).select(
+                "key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.label").alias("centre_label"))
+            near = f"label != centre_label AND 100 * least(n, centre_n) >= {LINK} * greatest(n, centre_n)"
+            met = named.join(bounded(cut_lineage(spark, centre)), "key").where(near).groupBy("node", "centre").agg(F.count(F.lit(1)).alias("bands"))
+            pairs = met.groupBy("node").agg(F.max_by("centre", F.struct("bands", -F.col("centre"))).alias("centre"))
+            pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+            found = _confirmed(pairs, known)
         else:
-            pairs = open_keys.join(open_keys.toDF("key", "centre", "centre_label"), "key").where("label < centre_label")
-        pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        pairs = cut_lineage(spark, pairs.join(tested, ["a", "b"], "left_anti"))
-        found = cut_lineage(spark, _confirm(_promising(pairs, sketched), texts))
-        tested = tested.unionByName(pairs)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = _components(links)
-    joined = rows.join(bounded(labels), rows["node"] == labels["v"], "left")
+            found = _confirmed_in_blocks(named, known)
+        links = links.unionByName(cut_lineage(spark, found))
+        labels = components(links)
+    joined = rows.join(bounded(labels.withColumnRenamed("v", "node")), "node", "left")
     component = F.coalesce("label", "node", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -222,11 +264,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return out.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(single.select("doc_id", "least.*").select(*docs.columns))
 
 
-def _components(links: DataFrame) -> DataFrame:
-    both = links.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(links.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct()
-    return connected_components(both, both.select(F.col("src").alias("v")).distinct())
-
-
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     named = bounded(labels.withColumnRenamed("v", "node"))
-    return members.join(named, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    return members.join(named, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))

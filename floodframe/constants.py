@@ -238,7 +238,6 @@ ACTION_RULES = (
     ("Investigate (uncertain)", 0.4, 0.7),
 )
 ZONE_QUANTILES = (0.33, 0.66)
-ZONE_MIN_ROWS = 20
 MIN_COVERAGE_RATIO = 0.8
 SEVERITY_CUT = 1.5
 

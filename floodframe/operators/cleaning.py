@@ -259,9 +259,5 @@ def limit_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = K.SEED) -> DataFrame:
     """Repeatable sample of ``n`` rows: the first in a seeded hash order, whatever the partitioning."""
-    if n <= _HEAP_LIMIT:
-        return df.withColumn("_h", seeded_hash(key, seed)).orderBy("_h", key).limit(n).drop("_h")
     return shuffled_rank(df, key, seed).where(F.col("shuffle_rank") <= n).select(*df.columns)
 
-
-_HEAP_LIMIT = 100_000  # above this a top-n heap no longer belongs in one task

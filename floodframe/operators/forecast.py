@@ -96,9 +96,11 @@ def _prepared(events: DataFrame, strategy: Column) -> DataFrame:
 def _values_at(prepared: DataFrame, fc: DataFrame, cells: DataFrame | None, domain: str) -> DataFrame:
     """Control value and perturbed-member values per place and day, at the nearest forecast time.
 
-    A cell's members at one time travel as one map, so the join and the grouping move a row per
-    cell instead of a row per member. The forecast table holds one value per cell, time, product and member.
+    One variable is picked first. Repeated values of a cell, time, product and member are averaged. A cell's members at one time
+    travel as one map, so the join and the grouping move a row per cell instead of a row per member. Of a table written by month
+    (``obs_month``) only the months of the wanted times are read for values.
     """
+    fc = pick_variable(fc)
     usable = prepared.where("latitude IS NOT NULL AND longitude IS NOT NULL AND flood_start_date IS NOT NULL")
     cells = forecast_cells(fc) if cells is None else cells
     pairs = places_to_cells(usable.select(*_PLACE).distinct(), cells, domain)
@@ -110,10 +112,14 @@ def _values_at(prepared: DataFrame, fc: DataFrame, cells: DataFrame | None, doma
         usable.select(*_PLACE, "flood_start_date").distinct()
         .join(nearest_day, "flood_start_date").join(pairs, _PLACE)
     )
+    if "obs_month" in fc.columns:
+        month = lambda at: nearest_day.agg(F.date_format(F.timestamp_seconds(at("_ts")), "yyyy-MM")).scalar()
+        fc = fc.where(F.col("obs_month").between(month(F.min), month(F.max)))
     facts = fc.select("cell_id", "product", "member", "value", seconds(F.col("ts")).alias("_ts"))
     needed = facts.join(wanted.select("cell_id", "_ts").distinct(), ["cell_id", "_ts"], "left_semi")
+    single = needed.groupBy("cell_id", "_ts", "product", "member").agg(F.avg("value").alias("value"))
     perturbed = (F.col("product") == "pf") & (F.col("member") != 0) & F.col("value").isNotNull()
-    by_cell = needed.groupBy("cell_id", "_ts").agg(
+    by_cell = single.groupBy("cell_id", "_ts").agg(
         F.avg(F.when(F.col("product") == "cf", F.col("value"))).alias("_control"),
         F.map_from_entries(F.collect_list(F.when(perturbed, F.struct("member", "value")))).alias("_members"),
     )

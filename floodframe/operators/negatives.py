@@ -1,6 +1,6 @@
 """Negative samples, exclusion zones and positive augmentation."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -150,19 +150,40 @@ def _cross(a, b):
 
 
 def _uniform(column: str, seed: int):
-    """Repeatable uniform number in [0, 1) for a row number."""
-    return F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    """Repeatable uniform number in [0, 1) for a row number: the first 13 hex digits of a digest."""
+    digits = F.substring(F.md5(F.concat(F.col(column).cast("string"), F.lit(f"|{seed}"))), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def _gather(draw: Callable[[int, int], DataFrame], wanted: int, start: int, give_up: int) -> tuple[list[DataFrame], int, int]:
+    """Rounds of accepted candidates until ``wanted``; each round's size follows the rate of acceptance so far.
+
+    Each round is written once. Ends early only if ``give_up`` candidates in a row brought nothing. Returns the rounds, the number
+    accepted and the next candidate number.
+    """
+    rounds, have, first, barren, size = [], 0, start, 0, 2 * wanted + 64
+    while have < wanted and barren < give_up:
+        points = draw(start, start + size)
+        points = cut_lineage(points.sparkSession, points)
+        got, start = points.count(), start + size
+        barren = 0 if got else barren + size
+        have += got
+        rounds.append(points)
+        rate = have / (start - first)
+        size = int((wanted - have) / rate * 1.1) + 64 if rate else 4 * size
+    return rounds, have, start
 
 
 def negatives_spatial(
     positives: DataFrame, polygons: DataFrame, ratio: float = 1.0, seed: int = K.SEED,
-    metres: float = K.NEGATIVE_EXCLUSION_M, oversample: int = 8,
+    metres: float = K.NEGATIVE_EXCLUSION_M, give_up: int = 200_000,
 ) -> DataFrame:
     """Area-weighted random points in the positives' countries, none near a positive.
 
     All polygons serve, each as likely as the next, if no positive names a known country or the
     named ones have no room left. Points are drawn as rows, in rounds, until ``ratio`` times the
-    number of positives have been accepted. Only counts and the total weight reach the driver.
+    number of positives have been accepted. ``give_up`` candidates in a row without one count as no room; if no polygon
+    has any, a ValueError says how many were found. Runs jobs at once; only counts and the total weight reach the driver.
     """
     wanted = int(positives.count() * ratio)
     world = polygon_table(polygons).where((F.col("x_max") > F.col("x_min")) & (F.col("y_max") > F.col("y_min")))
@@ -177,14 +198,12 @@ def negatives_spatial(
     rounds, have, start = [], 0, 0
     for table in tables:
         line, total, step = _weighted_line(table)
-        while total and have < wanted:
-            size = (wanted - have) * oversample
-            points = exclude_within(_draw(line, total, step, start, start + size, seed), positives, metres)
-            got, start = points.count(), start + size
-            if not got:
-                break
-            rounds.append(points)
-            have += got
+        if total and have < wanted:
+            draw = lambda a, b: exclude_within(_draw(line, total, step, a, b, seed), positives, metres)  # noqa: B023, E731
+            more, got, start = _gather(draw, wanted - have, start, give_up)
+            rounds, have = rounds + more, have + got
+    if have < wanted:
+        raise ValueError(f"room for only {have} of {wanted} negatives farther than {metres} m from all positives ({start} candidates drawn)")
     if not rounds:
         return _as_negatives(_draw(*_weighted_line(world), 0, 0, seed))
     return _as_negatives(_first(reduce(DataFrame.unionByName, rounds), wanted))
@@ -227,9 +246,12 @@ def _first(points: DataFrame, n: int) -> DataFrame:
 
 
 def negatives_bbox(
-    positives: DataFrame, polygons: DataFrame, ratio: float = 1.5, seed: int = K.SEED
+    positives: DataFrame, polygons: DataFrame, ratio: float = 1.5, seed: int = K.SEED, give_up: int = 1_000_000
 ) -> DataFrame:
-    """Uniform points over the polygons' joint box, kept if inside one; the first ``ratio`` times the positives."""
+    """Uniform points over the polygons' joint box, kept if inside one; exactly ``ratio`` times the positives.
+
+    Drawn in rounds until enough lie inside; ``give_up`` candidates in a row outside raise a ValueError. Runs jobs at once.
+    """
     spark = positives.sparkSession
     wanted = int(positives.count() * ratio)
     table = polygon_table(polygons)
@@ -241,21 +263,29 @@ def negatives_bbox(
         "country_code", "ring", "x_min", "x_max", "y_min", "y_max",
         F.explode(F.sequence(bucket_of(F.col("x_min"), step), bucket_of(F.col("x_max"), step))).alias("_bx"),
     ).withColumn("_by", F.explode(F.sequence(bucket_of(F.col("y_min"), step), bucket_of(F.col("y_max"), step))))
-    drawn = (
-        spark.range(wanted * 2).withColumnRenamed("id", "candidate").withColumn("_box", box)
-        .withColumns({
-            "longitude": F.col("_box.x0") + _uniform("candidate", seed) * (F.col("_box.x1") - F.col("_box.x0")),
-            "latitude": F.col("_box.y0") + _uniform("candidate", seed + 1) * (F.col("_box.y1") - F.col("_box.y0")),
-        })
-        .withColumns({"_bx": bucket_of(F.col("longitude"), step), "_by": bucket_of(F.col("latitude"), step)})
-    )
-    inside = drawn.join(tiles, ["_bx", "_by"]).where(
-        F.col("longitude").between(F.col("x_min"), F.col("x_max"))
-        & F.col("latitude").between(F.col("y_min"), F.col("y_max"))
-        & point_in_ring(F.col("longitude"), F.col("latitude"), F.col("ring"))
-    )
-    found = inside.groupBy("candidate", "latitude", "longitude").agg(F.min("country_code").alias("country_code"))
-    return _as_negatives(_first(found, wanted))
+
+    def draw(start, end):
+        drawn = (
+            spark.range(start, end).withColumnRenamed("id", "candidate").withColumn("_box", box)
+            .withColumns({
+                "longitude": F.col("_box.x0") + _uniform("candidate", seed) * (F.col("_box.x1") - F.col("_box.x0")),
+                "latitude": F.col("_box.y0") + _uniform("candidate", seed + 1) * (F.col("_box.y1") - F.col("_box.y0")),
+            })
+            .withColumns({"_bx": bucket_of(F.col("longitude"), step), "_by": bucket_of(F.col("latitude"), step)})
+        )
+        inside = drawn.join(tiles, ["_bx", "_by"]).where(
+            F.col("longitude").between(F.col("x_min"), F.col("x_max"))
+            & F.col("latitude").between(F.col("y_min"), F.col("y_max"))
+            & point_in_ring(F.col("longitude"), F.col("latitude"), F.col("ring"))
+        )
+        return inside.groupBy("candidate", "latitude", "longitude").agg(F.min("country_code").alias("country_code"))
+
+    rounds, have, start = _gather(draw, wanted, 0, give_up)
+    if have < wanted:
+        raise ValueError(f"only {have} of {wanted} negatives lie inside the polygons ({start} candidates drawn)")
+    if not rounds:
+        return _as_negatives(draw(0, 0))
+    return _as_negatives(_first(reduce(DataFrame.unionByName, rounds), wanted))
 
 
 def _as_negatives(points: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def running_totals(
 
 
 _SKETCH = 10_000
-_MARGIN = 3 / _SKETCH
+_MARGINS = (3 / _SKETCH, 0.02)
 
 
 def exact_quantiles(
@@ -61,37 +61,54 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles: one row per ``(by, column_name)`` with ``q0, q1, ...``.
 
-    A sketch brackets each quantile first. Values below a bracket are only counted; the values inside,
-    a few per ten thousand, are ranked. Small groups are ranked whole.
+    A sketch proposes a narrow and a wide bracket per quantile. Counting the values below and inside tells which of them holds the
+    wanted ranks; if neither does, the bracket is the whole range. Only values inside the bracket taken are ranked. Runs its jobs at once.
     """
-    by = list(by)
+    by, marks_per = list(by), 2 * len(_MARGINS)
+    spark = df.sparkSession
     number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
     values = df.select(*by, *[number(c).alias(f"_v{i}") for i, c in enumerate(columns)])
-    marks = [m for p in probabilities for m in (max(0.0, p - _MARGIN), min(1.0, p + _MARGIN))]
+    marks = [m for p in probabilities for margin in _MARGINS for m in (max(0.0, p - margin), min(1.0, p + margin))]
     sketch = values.groupBy(*by).agg(F.struct(*[
-        F.struct(
-            F.count(f"_v{i}").alias("n"), F.min(f"_v{i}").alias("lo"), F.max(f"_v{i}").alias("hi"),
-            F.percentile_approx(f"_v{i}", marks, _SKETCH).alias("q"),
-        ).alias(f"_s{i}")
+        F.struct(F.min(f"_v{i}").alias("lo"), F.max(f"_v{i}").alias("hi"), F.percentile_approx(f"_v{i}", marks, _SKETCH).alias("q")).alias(f"_s{i}")
         for i in range(len(columns))
     ]).alias("_s"))
-    sketch = cut_lineage(df.sparkSession, sketch)  # one row per group, used by both passes below
-    keyed = values.join(sketch, by) if by else values.withColumn("_s", sketch.select("_s").scalar())
-
-    inside, below = [], []
-    for i in range(len(columns)):
-        v, s = F.col(f"_v{i}"), F.col(f"_s._s{i}")
-        for k in range(len(probabilities)):
-            few = s["n"] <= _SKETCH
-            lo, hi = F.when(few, s["lo"]).otherwise(s["q"][2 * k]), F.when(few, s["hi"]).otherwise(s["q"][2 * k + 1])
-            key = i * len(probabilities) + k
-            inside.append(F.when(v.between(lo, hi), F.struct(F.lit(key).alias("key"), v.alias("value"))))
-            below.append(F.struct(F.lit(key).alias("key"), F.count_if(v < lo).alias("below"), F.count(v).alias("total")).alias(f"_b{key}"))
+    sketch = cut_lineage(spark, sketch)  # one row per group
+    with_row = lambda rows, name: values.join(rows, by) if by else values.withColumn(name, rows.select(name).scalar())
+
+    pairs = [(i, k) for i in range(len(columns)) for k in range(len(probabilities))]
+    proposed = {
+        (i, k): [(F.col(f"_s._s{i}.q")[marks_per * k + 2 * m], F.col(f"_s._s{i}.q")[marks_per * k + 2 * m + 1]) for m in range(len(_MARGINS))]
+        for i, k in pairs
+    }
+    counts = []
+    for i, k in pairs:
+        v = F.col(f"_v{i}")
+        tried = [F.struct(F.count_if(v < lo).alias("below"), F.count_if(v <= hi).alias("upto")) for lo, hi in proposed[i, k]]
+        counts.append(F.struct(F.count(v).alias("total"), F.array(*tried).alias("tried")).alias(f"_c{i}_{k}"))
+    counted_rows = with_row(sketch, "_s").groupBy(*by).agg(*counts)
+    joined = counted_rows.join(sketch, by) if by else counted_rows.withColumn("_s", sketch.select("_s").scalar())
+    brackets = []
+    for key, (i, k) in enumerate(pairs):
+        c = F.col(f"_c{i}_{k}")
+        position = F.lit(float(probabilities[k])) * (c["total"] - 1)
+        chosen = F.struct(F.col(f"_s._s{i}.lo").alias("lo"), F.col(f"_s._s{i}.hi").alias("hi"), F.lit(0).cast("long").alias("below"))
+        for m in reversed(range(len(_MARGINS))):
+            lo, hi = proposed[i, k][m]
+            tried = c["tried"][m]
+            holds = (tried["below"] <= F.floor(position)) & (F.ceil(position) < tried["upto"])
+            chosen = F.when(holds, F.struct(lo.alias("lo"), hi.alias("hi"), tried["below"].alias("below"))).otherwise(chosen)
+        brackets.append(F.struct(F.lit(key).alias("key"), c["total"].alias("total"), chosen["lo"].alias("lo"), chosen["hi"].alias("hi"), chosen["below"].alias("below")))
+    bracket = cut_lineage(spark, joined.select(*by, F.array(*brackets).alias("_b")))
+    inside = [
+        F.when(F.col(f"_v{i}").between(F.col("_b")[key]["lo"], F.col("_b")[key]["hi"]), F.struct(F.lit(key).alias("key"), F.col(f"_v{i}").alias("value")))
+        for key, (i, k) in enumerate(pairs)
+    ]
     counted = (
-        keyed.select(*by, F.explode(F.array_compact(F.array(*inside))).alias("_p")).select(*by, "_p.*")
+        with_row(bracket, "_b").select(*by, F.explode(F.array_compact(F.array(*inside))).alias("_p")).select(*by, "_p.*")
         .groupBy(*by, "key", "value").agg(F.count(F.lit(1)).alias("n"))
     )
-    offsets = keyed.groupBy(*by).agg(*below).select(*by, F.inline(F.array(*[F.col(f"_b{k}") for k in range(len(below))])))
+    offsets = bracket.select(*by, F.inline("_b")).select(*by, "key", "total", "below")
     ranked = running_totals(counted, "value", ["n"], by + ["key"]).join(offsets, by + ["key"])
 
     chance = F.element_at(F.array(*[F.lit(float(p)) for p in probabilities]), F.pmod("key", F.lit(len(probabilities))) + 1)

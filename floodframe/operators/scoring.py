@@ -37,7 +37,7 @@ def operational_priority(df: DataFrame, threshold: float = 0.5, probability: str
     """Priority from probability and interval width against the width terciles, and the action it triggers."""
     wide = df.withColumn("_width", interval_width(df))
     q = exact_quantiles(wide, ["_width"], [1 / 3, 2 / 3])
-    enough = F.max("n") > 1
+    enough = F.max("n") > 0
     cuts = q.agg(F.struct(*[
         F.coalesce(F.when(enough, F.max(f"q{i}")), F.lit(d)).alias(n)
         for i, (n, d) in enumerate(zip(("low", "high"), K.PRIORITY_WIDTH_DEFAULTS))
@@ -123,10 +123,11 @@ def width_histogram(df: DataFrame, bins: int = 20, high: float = 1.0) -> DataFra
     return histogram(df, clamp(interval_width(df), low=0.0), bins, 0.0, high)
 
 
-def map_points(df: DataFrame, key: str, n: int = 1000, seed: int = K.SEED) -> DataFrame:
-    """Map feed: a repeatable sample of scored points with the centre of all of them."""
+def map_points(df: DataFrame, key: str, n: int | None = None, seed: int = K.SEED) -> DataFrame:
+    """Map feed: all scored points, or a repeatable sample of ``n``, with the centre of all of them."""
     centre = df.agg(F.struct(F.avg("latitude").alias("centre_lat"), F.avg("longitude").alias("centre_lon"))).scalar()
-    return sample_rows(df, n, key, seed).withColumn("_c", centre).select("*", "_c.*").drop("_c")
+    chosen = df if n is None else sample_rows(df, n, key, seed)
+    return chosen.withColumn("_c", centre).select("*", "_c.*").drop("_c")
 
 
 def coverage(df: DataFrame, requested: int, minimum: float = K.MIN_COVERAGE_RATIO) -> DataFrame:

@@ -62,11 +62,18 @@ def cell_table(obs: DataFrame) -> DataFrame:
 
 
 def within_reach(obs: DataFrame, events: DataFrame, days_before: int, days_after: int) -> DataFrame:
-    """Observations any event's window can touch; the bounds reach the scan as literals."""
-    first = events.agg(F.date_sub(F.min("flood_start_date"), days_before)).scalar()
-    last = events.agg(F.date_add(F.max("flood_start_date"), days_after)).scalar()
+    """Observations any event's window can touch.
+
+    The bounds are scalar subqueries over the events. Of a table written by month (``obs_month``, see ``sources.grids``) only the
+    months in reach are listed and read; elsewhere the bound on ``ts`` filters after the scan.
+    """
+    first, last = F.date_sub(F.min("flood_start_date"), days_before), F.date_add(F.max("flood_start_date"), days_after)
     ts_type = dict(obs.dtypes)["ts"]
-    return obs.where((F.col("ts") >= first.cast(ts_type)) & (F.col("ts") < last.cast(ts_type)))
+    held = obs.where((F.col("ts") >= events.agg(first).scalar().cast(ts_type)) & (F.col("ts") < events.agg(last).scalar().cast(ts_type)))
+    if "obs_month" not in obs.columns:
+        return held
+    month = lambda day: events.agg(F.date_format(day, "yyyy-MM")).scalar()
+    return held.where(F.col("obs_month").between(month(first), month(last)))
 
 
 def _slot_of(ts: Column, seconds: int) -> Column:
@@ -225,7 +232,7 @@ def rain_features(events: DataFrame, obs: DataFrame, **options) -> DataFrame:
             WindowStat(f"_{run}_mean", run, 0, 1, "mean"),
         )
     ] + antecedent_stats("late") + [peak_day_stat("late")]
-    found = window_features(events, obs, stats, series=runs, **options)
+    found = window_features(events, obs.where(F.col("source").isin(*runs)), stats, series=runs, **options)
 
     day = F.col("flood_start_date")
     before_era = day < F.lit(K.RAIN_START)
@@ -269,7 +276,7 @@ def moisture_features(
         WindowStat("gee_smap_subsurface_soil_moisture", "root", -3, end, "mean"),
         WindowStat("_normal", "top", -60, -30, "mean"),
     ]
-    found = window_features(events, obs, stats, series=series, **options)
+    found = window_features(events, obs.where(F.col("variable").isin(surface, rootzone)), stats, series=series, **options)
     return found.withColumn(
         "gee_smap_soil_moisture_anomaly", F.col("gee_smap_surface_soil_moisture") - F.col("_normal")
     ).drop("_normal")
@@ -299,8 +306,9 @@ def weather_features(
         "gee_gfs_precipitable_water_kg_m2": F.col("_water"),
         "gee_gfs_wind_speed_ms": F.sqrt(F.col("_u") * F.col("_u") + F.col("_v") * F.col("_v")),
     }
+    wanted = obs.where(F.col("variable").isin(*variables.values()))
     return window_features(
-        events, obs, stats, series=series, cell_columns=named, outputs=list(named), seconds=_DAY // 2, **options
+        events, wanted, stats, series=series, cell_columns=named, outputs=list(named), seconds=_DAY // 2, **options
     )
 
 
@@ -322,7 +330,7 @@ def index_features(
     ndvi: str = "NDVI", green: str = "SR_B3", nir: str = "SR_B5", swir: str = "SR_B6", **options,
 ) -> DataFrame:
     """Thirty-day means of vegetation, built-up and water indices, each computed per image."""
-    images = pivot_bands(obs, [ndvi, green, nir, swir])
+    images = pivot_bands(within_reach(obs, events, 30, 1), [ndvi, green, nir, swir])
     scaled = lambda c: F.col(c) * K.SURFACE_REFLECTANCE_SCALE + K.SURFACE_REFLECTANCE_OFFSET
     series = {
         "ndvi": F.col(ndvi) * K.NDVI_SCALE,

@@ -76,23 +76,23 @@ def density_clusters(
 
 def spatial_clusters(
     df: DataFrame, eps: float = 0.25, min_samples: int = 5, min_cluster_size: int = 20,
-    fallback_k: int = 10, seed: int = K.SEED,
+    method: str = "density", k: int = 10, seed: int = K.SEED,
 ) -> DataFrame:
-    """Clusters of places for spatial cross-validation, numbered from 0 (noise, if any, first).
+    """Clusters of places for spatial cross-validation, numbered from 0.
 
-    If everything is noise, k-means with ``k`` from the number of rows.
+    ``density`` puts noise, if there is any, first; data without a dense cell are one cluster of noise. ``kmeans`` makes ``k`` clusters
+    on standardised coordinates, for data known to have no dense places. Runs jobs at once.
     """
-    clustered = density_clusters(df, ["latitude", "longitude"], eps, min_samples, min_cluster_size)
-    seen = clustered.agg(F.min("spatial_cluster"), F.max("spatial_cluster"), F.count(F.lit(1))).first()
-    if seen[2] and seen[1] == -1:
-        k = min(fallback_k, max(2, int((seen[2] / 25) ** 0.5)))
+    if method == "kmeans":
         z = standardised(df, ["latitude", "longitude"])
         vectors = VectorAssembler(inputCols=["_z0", "_z1"], outputCol="_vector").transform(z)
         model = KMeans(k=k, seed=seed, featuresCol="_vector", predictionCol="spatial_cluster").fit(vectors)
         return model.transform(vectors).drop("_vector", "_z0", "_z1")
-    if seen[2] and seen[0] == -1:
-        return clustered.withColumn("spatial_cluster", F.col("spatial_cluster") + 1)
-    return clustered
+    if method != "density":
+        raise ValueError(f"unknown method {method!r}")
+    clustered = cut_lineage(df.sparkSession, density_clusters(df, ["latitude", "longitude"], eps, min_samples, min_cluster_size))
+    least = clustered.agg(F.min("spatial_cluster")).scalar()
+    return clustered.withColumn("spatial_cluster", F.col("spatial_cluster") + F.when(least == -1, 1).otherwise(0))
 
 
 def name_zones(df: DataFrame, cluster: str = "Risk_Cluster", score: str = "Final_Risk_Score") -> DataFrame:
@@ -114,9 +114,7 @@ def name_zones(df: DataFrame, cluster: str = "Risk_Cluster", score: str = "Final
 def risk_zones(
     df: DataFrame, eps: float = 0.25, min_samples: int = 5, min_cluster_size: int = 10, score: str = "Final_Risk_Score"
 ) -> DataFrame:
-    """Append ``Risk_Cluster`` and ``Risk_Zone``, clustering on place and score."""
-    if len(df.limit(K.ZONE_MIN_ROWS).take(K.ZONE_MIN_ROWS)) < K.ZONE_MIN_ROWS:
-        return df.withColumns({"Risk_Cluster": F.lit(-1), "Risk_Zone": F.lit("Uncategorized")})
+    """Append ``Risk_Cluster`` and ``Risk_Zone``, clustering on place and score. Runs jobs at once."""
     clustered = density_clusters(
         df, ["latitude", "longitude", score], eps, min_samples, min_cluster_size, "Risk_Cluster"
     )

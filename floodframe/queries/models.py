@@ -1,12 +1,15 @@
 """Queries on splits, metrics, training, scoring, zones and local experts."""
 
-from pyspark.sql import functions as F
+import json
+
+from pyspark.sql import Window, functions as F
 
 from floodframe import constants as K
 from floodframe.functions import geo, risk
 from floodframe.operators import features, local, metrics, scoring, train, zones
 from floodframe.plans import regional, training
 from floodframe.queries.base import query, r, rounded
+from floodframe.session import cut_lineage
 
 _SCORES = ["p_a", "p_b", "p_c"]
 _THR = 0.45
@@ -135,26 +138,26 @@ m AS (SELECT a, b, c, pos, neg, a * p_a + b * p_b + c * p_c AS p FROM d, wt),
 bin AS (SELECT a, b, c, list_sum([CASE WHEN p >= t / 100 THEN 1 ELSE 0 END FOR t IN [CAST(u AS DOUBLE) FOR u IN range(10, 91)]]) AS k, sum(pos) AS pos, sum(neg) AS neg,
   sum(pos * (1 - q) * (1 - q) + neg * q * q) AS sse FROM (SELECT *, least(greatest(p, 1e-6), 1 - 1e-6) AS q FROM m) AS z GROUP BY 1, 2, 3, 4),
 total AS (SELECT a, b, c, sum(pos) AS np, sum(neg) AS nn, sum(sse) / sum(pos + neg) AS brier FROM bin GROUP BY 1, 2, 3),
-g AS (SELECT a, b, c, brier, CAST(t AS DOUBLE) / 100 AS threshold, coalesce(sum(pos), 0) AS tp, coalesce(sum(neg), 0) AS fp, nn - coalesce(sum(neg), 0) AS tn, np - coalesce(sum(pos), 0) AS fn
-  FROM total JOIN (SELECT unnest(range(10, 91)) AS t) AS tt ON true LEFT JOIN bin USING (a, b, c)
-  WHERE true AND (k IS NULL OR k > t - 10) GROUP BY a, b, c, brier, t, np, nn)
+h AS (SELECT a, b, c, brier, t, np, nn, coalesce(sum(bin.pos) FILTER (k > t - 10), 0) AS tp, coalesce(sum(bin.neg) FILTER (k > t - 10), 0) AS fp
+  FROM total JOIN (SELECT unnest(range(10, 91)) AS t) AS tt ON true JOIN bin USING (a, b, c) GROUP BY a, b, c, brier, t, np, nn),
+g AS (SELECT a, b, c, brier, CAST(t AS DOUBLE) / 100 AS threshold, tp, fp, nn - fp AS tn, np - tp AS fn FROM h)
 SELECT {r('a')} AS weight_static, {r('b')} AS weight_dynamic, {r('c')} AS weight_full, threshold, {_COUNTS}, {r('brier')} AS brier, {r(_MCC)} AS mcc,
   {r(f'round(-(fp + fn) + {_MCC} - brier, 9)')} AS selection_score FROM g
 """
 _SEARCHED = ["weight_static", "weight_dynamic", "weight_full", "threshold", "tp", "fp", "tn", "fn", "fp_plus_fn", "brier", "mcc", "selection_score"]
 
 
-@query("search_weights", f"SELECT * FROM ({_SEARCH}) AS s WHERE tp + fp > 0")
+@query("search_weights", f"SELECT * FROM ({_SEARCH}) AS s")
 def _(x):
-    return rounded(metrics.search_weights(x.fx_preds, "y", _SCORES).select(*_SEARCHED)).where("tp + fp > 0")
+    return rounded(metrics.search_weights(x.fx_preds, "y", _SCORES).select(*_SEARCHED))
 
 
-@query("best_weights", f"SELECT * FROM ({_SEARCH}) AS s WHERE tp + fp > 0 ORDER BY selection_score DESC, weight_static, weight_dynamic, threshold LIMIT 1")
+@query("best_weights", f"SELECT * FROM ({_SEARCH}) AS s ORDER BY selection_score DESC, weight_static, weight_dynamic, threshold LIMIT 1")
 def _(x):
     return rounded(metrics.best_weights(metrics.search_weights(x.fx_preds, "y", _SCORES)).select(*_SEARCHED))
 
 
-@query("top_combinations", f"SELECT * FROM ({_SEARCH}) AS s WHERE tp + fp > 0 ORDER BY fp_plus_fn, weight_static, weight_dynamic, threshold LIMIT 10")
+@query("top_combinations", f"SELECT * FROM ({_SEARCH}) AS s ORDER BY fp_plus_fn, weight_static, weight_dynamic, threshold LIMIT 10")
 def _(x):
     return rounded(metrics.top_combinations(metrics.search_weights(x.fx_preds, "y", _SCORES)).select(*_SEARCHED))
 
@@ -185,17 +188,18 @@ def _(x):
     return rounded(metrics.backtest(x.fx_preds, "y", "p_b"))
 
 
-_FOLD_METRICS = {k: _RATES[k] for k in ("precision", "recall", "mcc", "balanced_accuracy")}
+_FOLD_METRICS = {"fp_plus_fn": "fp + fn", **_RATES, **{k: _BETAS[k] for k in ("fbeta_1_0", "fbeta_1_5", "fbeta_2_0", "fbeta_2_5", "fbeta_3_0")},
+                 "brier": "brier", "log_loss": "log_loss"}
 
 
 @query("cv_summary", f"""
-WITH c AS (SELECT l_partkey % 5 AS fold, {_confusion_sql()} FROM fx_preds GROUP BY 1),
+WITH c AS (SELECT l_partkey % 5 AS fold, {_confusion_sql()}, {_loss_sql()} FROM fx_preds GROUP BY 1),
 m AS ({' UNION ALL '.join(f"SELECT '{n}' AS metric, {e} AS value FROM c" for n, e in _FOLD_METRICS.items())})
 SELECT metric, {r('avg(value)')} AS mean, {r('stddev_samp(value)')} AS std FROM m GROUP BY metric
 """)
 def _(x):
     folds = metrics.fold_metrics(x.fx_preds.withColumn("fold", F.col("l_partkey") % 5), "y", "p_b", _THR)
-    return rounded(metrics.cv_summary(folds.where(F.col("metric").isin(*_FOLD_METRICS))))
+    return rounded(metrics.cv_summary(folds))
 
 
 @query("trial_log", f"""
@@ -228,57 +232,108 @@ def _training_rows(x):
     return x.fx_preds.select("row_id", "x1", "x2", "p_a", "p_c", signal.cast("int").alias("label"))
 
 
-@query("train_models")
+# Fitted models have no SQL; what has to hold of their output does, as counts and truths.
+_LABELLED = "(SELECT row_id, CASE WHEN x1 / 50000 + p_a + y > 1.6E0 THEN 1 ELSE 0 END AS label FROM fx_preds)"
+
+
+def _within(*columns):
+    """Whether all columns are probabilities."""
+    truths = [F.coalesce(F.col(c).between(0.0, 1.0), F.lit(False)) for c in columns]
+    return F.expr("true") if not truths else truths[0] if len(truths) == 1 else F.array_min(F.array(*truths))
+
+
+def _learned(df, score, label="label", least=0.6):
+    """Whether the score ranks the label clearly better than chance."""
+    return F.lit(metrics.ranking_metrics(df, label, score).first()["roc_auc"] > least)
+
+
+@query("train_models", f"SELECT row_id, label, true AS in_range, true AS boosted_learned, true AS linear_learned FROM {_LABELLED} AS t")
 def _(x):
     df = _training_rows(x)
     models = train.train_models(df, _ROLES, params=_SMALL)
     for kind, model in models.items():
         df = train.with_probability(model, df, f"p_{kind}")
-    return df.select("row_id", "label", *train.SCORE_COLUMNS)
+    df = cut_lineage(x.spark, df)
+    # the forest's role holds no column the label depends on
+    learned = [_learned(df, f"p_{kind}").alias(f"{kind}_learned") for kind in ("boosted", "linear")]
+    return df.select("row_id", "label", _within(*train.SCORE_COLUMNS).alias("in_range"), *learned)
 
 
-@query("oof_predictions")
+@query("oof_predictions", f"""
+SELECT row_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(concat(row_id, '|42')), row_id) - 1) % 3 AS INT) AS fold, true AS in_range, true AS learned FROM {_LABELLED} AS t
+""")
 def _(x):
     df = features.assign_folds(_training_rows(x), "label", "row_id", 3)
-    return train.oof_predict(df, train.estimator("linear", _ROLES["full"], maxIter=10)).select("row_id", "label", "fold", "oof")
+    out = cut_lineage(x.spark, train.oof_predict(df, train.estimator("linear", _ROLES["full"], maxIter=10)))
+    return out.select("row_id", "label", "fold", _within("oof").alias("in_range"), _learned(out, "oof").alias("learned"))
 
 
-@query("calibrated_scores")
+@query("calibrated_scores", "SELECT row_id, y, true AS in_range, true AS in_order, true AS same_mean FROM fx_preds")
 def _(x):
     df = x.fx_preds.select("row_id", "y", "p_b")
-    return train.calibrate(df, train.fit_calibrator(df, "p_b", "y"), "p_b", "calibrated_proba")
+    out = cut_lineage(x.spark, train.calibrate(df, train.fit_calibrator(df, "p_b", "y"), "p_b", "calibrated_proba"))
+    # equal calibrated values pool neighbouring scores: ranges of scores per value may not overlap
+    spans = out.groupBy("calibrated_proba").agg(F.min("p_b").alias("lo"), F.max("p_b").alias("hi"))
+    crossed = spans.select("hi", F.lead("lo").over(Window.orderBy("calibrated_proba")).alias("after")).where("after < hi")
+    means = out.agg(F.avg("calibrated_proba").alias("p"), F.avg("y").alias("y")).first()
+    return out.select("row_id", "y", _within("calibrated_proba").alias("in_range"), F.lit(crossed.isEmpty()).alias("in_order"),
+                      F.lit(abs(means["p"] - means["y"]) < 1e-4).alias("same_mean"))
+
 
+_CYCLES = [", ".join(f"{kind}:{role}" for kind, role in roles.items()) for roles in train.cycles()]
 
-@query("rotate_roles")
+
+@query("rotate_roles", " UNION ALL ".join(
+    f"SELECT {i} AS cycle, '{name}' AS roles, (SELECT CAST(sum(label) AS BIGINT) FROM {_LABELLED} AS t) AS positives, (SELECT count(*) FROM fx_preds) AS n_rows, true AS weights_sum, true AS threshold_in_grid, true AS better_than_half, {i} IS NOT NULL AS listed"
+    for i, name in enumerate(_CYCLES, start=1)))
 def _(x):
-    return rounded(train.rotate_roles(_training_rows(x), _ROLES, "row_id", k=2, params=_SMALL))
+    out = train.rotate_roles(_training_rows(x), _ROLES, "row_id", k=2, params=_SMALL)
+    total = F.col("weight_static") + F.col("weight_dynamic") + F.col("weight_full")
+    return out.select(
+        "cycle", "roles", (F.col("tp") + F.col("fn")).alias("positives"), (F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn")).alias("n_rows"),
+        (F.abs(total - 1) < 1e-9).alias("weights_sum"), F.col("threshold").between(0.1, 0.9).alias("threshold_in_grid"),
+        (2 * F.col("fp_plus_fn") < F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn")).alias("better_than_half"), F.lit(True).alias("listed"))
+
 
+_TRIALS = train.sample_param_grid({"maxIter": [5, 10, 15], "regParam": [0.0, 0.01, 0.1]}, 3)
 
-@query("tune_parameters")
+
+@query("tune_parameters", " UNION ALL ".join(
+    f"SELECT {i} AS trial_number, '{json.dumps({'params_json': json.dumps(p)}, separators=(',', ':'))}' AS params, true AS objective_is_errors, true AS brier_in_range, true AS mcc_in_range"
+    for i, p in enumerate(_TRIALS)))
 def _(x):
     df = features.assign_folds(_training_rows(x), "label", "row_id", 2)
-    grid = train.sample_param_grid({"maxIter": [5, 10, 15], "regParam": [0.0, 0.01, 0.1]}, 3)
-    return metrics.trial_log(train.tune(df, "linear", _ROLES["full"], grid), ["params_json"])
+    log = metrics.trial_log(train.tune(df, "linear", _ROLES["full"], _TRIALS), ["params_json"])
+    return log.select("trial_number", "params", (F.abs(F.col("objective_value") + F.col("mean_fp_plus_fn")) < 1e-9).alias("objective_is_errors"),
+                      F.col("mean_brier").between(0.0, 0.25).alias("brier_in_range"), F.col("mean_mcc").between(0.05, 1.0).alias("mcc_in_range"))
 
 
-@query("feature_importance")
+@query("feature_importance", f"SELECT CAST(unnest(range(1, {len(_ROLES['full']) + 1})) AS INT) AS rank, true AS known, true AS sums_to_one, true AS descending, 'x1' AS least_expected_first")
 def _(x):
     df = _training_rows(x)
     model = train.estimator("forest", _ROLES["full"], **_SMALL["forest"]).fit(df)
-    return train.feature_importance(model, _ROLES["full"], df)
+    rows = train.feature_importance(model, _ROLES["full"], df).orderBy("rank").collect()
+    values = [r["importance"] for r in rows]
+    known = sorted(r["feature"] for r in rows) == sorted(_ROLES["full"])
+    return x.spark.createDataFrame(
+        [(r["rank"], known, abs(sum(values) - 1) < 1e-9, values == sorted(values, reverse=True), rows[0]["feature"]) for r in rows],
+        "rank int, known boolean, sums_to_one boolean, descending boolean, least_expected_first string")
 
 
 # ---- scoring and reports -----------------------------------------------------------------------------------
 
-@query("score_models")
+@query("score_models", f"SELECT row_id, label, true AS in_range, true AS interval_holds, true AS prediction_follows, true AS learned FROM {_LABELLED} AS t")
 def _(x):
-    df = _training_rows(x)
-    fitted = train.train_models(df, _ROLES, params=_SMALL)
+    df = cut_lineage(x.spark, features.assign_folds(features.with_class_weight(_training_rows(x), "label"), "label", "row_id", 2))
     models = {}
-    for kind, model in fitted.items():
-        scored = train.with_probability(model, df, "s0")
-        models[kind] = (model, train.fit_calibrator(scored, "s0", "label"))
-    return regional.score(df, models, (0.45, 0.05, 0.5), 0.5)
+    for kind, role in train.MODEL_ROLES.items():  # calibrated on scores of rows the model has not seen
+        model = train.estimator(kind, _ROLES[role], "label", "weight", **_SMALL[kind])
+        models[kind] = (model.fit(df), train.fit_calibrator(train.oof_predict(df, model, "fold", "_oof"), "_oof", "label"))
+    out = cut_lineage(x.spark, regional.score(df, models, (0.45, 0.05, 0.5), 0.5))
+    p = F.col("Risk_Probability")
+    return out.select("row_id", "label", _within("Risk_Probability", *train.SCORE_COLUMNS).alias("in_range"),
+                      ((F.col("Risk_Lower_90") <= p) & (p <= F.col("Risk_Upper_90"))).alias("interval_holds"),
+                      (F.col("Prediction") == (p >= 0.5).cast("int")).alias("prediction_follows"), _learned(out, "Risk_Probability").alias("learned"))
 
 
 @query("risk_columns", f"""
@@ -377,7 +432,7 @@ SELECT row_id, {r('(SELECT avg(latitude) FROM fx_scored)')} AS centre_lat, {r('(
 FROM fx_scored ORDER BY md5(concat(row_id, '|42')), row_id LIMIT 1000
 """)
 def _(x):
-    return rounded(scoring.map_points(x.fx_scored, "row_id").select("row_id", "centre_lat", "centre_lon"))
+    return rounded(scoring.map_points(x.fx_scored, "row_id", 1000).select("row_id", "centre_lat", "centre_lon"))
 
 
 @query("sample_coverage", f"SELECT 80000 AS requested, count(*) AS returned, {r('count(*) / 80000')} AS coverage_ratio, count(*) / 80000 < 0.8 AS low_coverage FROM fx_scored")
@@ -417,9 +472,10 @@ def _(x):
     return zones.spatial_clusters(x.fx_events, _EPS, 25, 40).select("event_id", "spatial_cluster")
 
 
-@query("spatial_clusters_fallback")
+@query("spatial_clusters_fallback", "SELECT event_id, true AS has_cluster, CAST(10 AS BIGINT) AS n_clusters FROM fx_points")
 def _(x):
-    return zones.spatial_clusters(x.fx_points, 0.0001, 100_000, 20).select("event_id", "spatial_cluster")
+    out = cut_lineage(x.spark, zones.spatial_clusters(x.fx_points, method="kmeans").select("event_id", "spatial_cluster"))
+    return out.select("event_id", F.col("spatial_cluster").between(0, 9).alias("has_cluster"), F.lit(out.select("spatial_cluster").distinct().count()).cast("long").alias("n_clusters"))
 
 
 _ZONES = _cluster_sql(["latitude", "longitude", "Final_Risk_Score"], "fx_scored", 0.25, 40, 60) + """,
@@ -474,11 +530,13 @@ def _(x):
 @query("local_samples", f"""
 WITH {_NEAR}, flagged AS (SELECT *, flood_start_date >= DATE '2009-01-01' - 3650 AS recent FROM near),
 kept AS (SELECT *, count(*) FILTER (recent) OVER (PARTITION BY target_id) AS n FROM flagged)
-SELECT target_id, event_id, {r('dist', 3)} AS dist_km FROM kept WHERE recent OR n < 20
+SELECT target_id, event_id, {r('dist', 3)} AS dist_km, recent AS is_recent, n AS n_recent, recent OR n < 20 AS in_recent_choice FROM kept
 """)
 def _(x):
-    out = local.local_samples(_targets(x), x.fx_events, F.lit("2009-01-01").cast("date"), minimum=20)
-    return rounded(out.select("target_id", "event_id", "dist_km"), 3)
+    targets, now = _targets(x), F.lit("2009-01-01").cast("date")
+    chosen = local.local_samples(targets, x.fx_events, now, minimum=20).select("target_id", "event_id", F.lit(True).alias("chosen"))
+    out = local.local_samples(targets, x.fx_events, now).join(chosen, ["target_id", "event_id"], "left")
+    return rounded(out.select("target_id", "event_id", "dist_km", "is_recent", "n_recent", F.coalesce("chosen", F.lit(False)).alias("in_recent_choice")), 3)
 
 
 _RATE = f"""
@@ -527,17 +585,28 @@ def _(x):
     return rounded(local.combine_local_global(_weighted(x)).select("row_id", "final_proba", "final_label", "confidence"))
 
 
-@query("local_expert")
+@query("local_expert", """
+SELECT count(*) AS n_samples, true AS model_fitted, true AS loss_is_finite, true AS rmse_in_range, true AS variance_in_range FROM fx_events
+WHERE 2 * 6371.0088E0 * atan2(sqrt(h), sqrt(1 - h)) <= 3000
+""".replace("FROM fx_events", "FROM (SELECT sin(radians(latitude) / 2) ** 2 + cos(radians(latitude)) * sin(radians(longitude) / 2) ** 2 AS h FROM fx_events) AS s"))
 def _(x):
-    place = x.spark.range(1).select(F.lit(1).alias("target_id"), F.lit(0.0).alias("latitude"), F.lit(0.0).alias("longitude"))
+    place = x.supplier.where("s_suppkey = 1").select(F.lit(1).alias("target_id"), F.lit(0.0).alias("latitude"), F.lit(0.0).alias("longitude"))
     events = x.fx_events.withColumns({"label": (F.col("event_id") % 4 == 0).cast("int"), "days": F.col("flood_duration_days").cast("double"), "lat": F.col("latitude")})
     near = local.local_samples(place, events, F.lit("2009-01-01").cast("date"), radius_km=3000.0)
-    _, _, quality = train.local_expert(near, ["days", "lat"], "event_id", "label", "linear", maxIter=5)
-    return x.spark.createDataFrame([{k: float(v) if k != "reason" else str(v) for k, v in quality.items()}])
+    model, calibrator, quality = train.local_expert(near, ["days", "lat"], "event_id", "label", "linear", maxIter=5)
+    return x.spark.createDataFrame(
+        [(quality["n_samples"], model is not None and calibrator is not None, 0 < quality["oof_logloss"] < 5, 0 < quality["oof_rmse"] < 0.6, 0 <= quality["oof_var"] < 0.25)],
+        "n_samples long, model_fitted boolean, loss_is_finite boolean, rmse_in_range boolean, variance_in_range boolean")
 
 
-@query("training_run")
+@query("training_run", f"""
+WITH h AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY md5(concat(row_id, '|42')), row_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM {_LABELLED} AS t)
+SELECT count(*) AS holdout_rows, CAST(sum(label) AS BIGINT) AS holdout_positives, true AS ranks_well, true AS brier_in_range, true AS threshold_in_grid, true AS weights_sum FROM h WHERE rn <= n * 0.2E0
+""")
 def _(x):
     df = _training_rows(x).withColumn("x1", F.when(F.col("x2") > 3, F.col("x1")))
     run = training.run_training(df, ["x1", "x2", "p_a", "p_c"], "label", "row_id", 2, 0.2, _SMALL)
-    return rounded(run["holdout"])
+    cells = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
+    return run["holdout"].select(
+        cells.alias("holdout_rows"), (F.col("tp") + F.col("fn")).alias("holdout_positives"), (F.col("roc_auc") > 0.6).alias("ranks_well"), F.col("brier").between(0.0, 0.25).alias("brier_in_range"),
+        F.col("threshold").between(0.1, 0.9).alias("threshold_in_grid"), (F.abs(F.col("weight_static") + F.col("weight_dynamic") + F.col("weight_full") - 1) < 1e-9).alias("weights_sum"))

@@ -187,14 +187,41 @@ def _with_country(x):
     return x.fx_events.join(names, F.col("event_id") % 7 == F.col("n_nationkey")).drop("n_nationkey")
 
 
-@query("negatives_spatial")
+_UNIT = "CAST(CAST('0x' || substr(md5(concat(CAST(candidate AS VARCHAR), '|{seed}')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0E0"
+_TRIANGLES = "tri AS (SELECT upper(n_name) AS country_code, CAST(n_nationkey % 5 * 30 - 70 AS DOUBLE) AS x0, CAST(floor(n_nationkey / 5) * 20 - 50 AS DOUBLE) AS y0 FROM nation)"
+_INSIDE = "latitude > y0 AND 15 * (longitude - x0) > 12 * (latitude - y0) AND 15 * (x0 + 25 - longitude) > 13 * (latitude - y0)"
+
+
+@query("negatives_spatial", f"""
+WITH {_TRIANGLES},
+p AS (SELECT e.*, n_name FROM fx_events AS e JOIN nation ON e.event_id % 7 = n_nationkey),
+home AS (SELECT *, 6378137 * radians(x0) AS mx, 6378137 * ln(tan(pi() / 4 + radians(y0) / 2)) AS m0, 6378137 * ln(tan(pi() / 4 + radians(y0 + 15) / 2)) AS m1 FROM tri WHERE country_code IN (SELECT upper(n_name) FROM p)),
+line AS (SELECT *, sum(area) OVER (ORDER BY country_code) AS upto FROM (SELECT *, 6378137 * radians(25) * (m1 - m0) / 2 AS area FROM home) AS h),
+c AS (SELECT unnest(range(0, (SELECT count(*) * 4 + 1000 FROM p))) AS candidate),
+u AS (SELECT candidate, {_UNIT.format(seed=K.SEED)} * (SELECT sum(area) FROM line) AS pos, {_UNIT.format(seed=K.SEED + 1)} AS a, {_UNIT.format(seed=K.SEED + 2)} AS b FROM c),
+d AS (SELECT candidate, x0 + a * 25 AS longitude, y0 + b * 15 AS latitude, country_code, x0, y0 FROM u JOIN line ON pos >= upto - area AND pos < upto),
+i AS (SELECT *, 6378137 * radians(longitude) AS x, 6378137 * ln(tan(pi() / 4 + radians(latitude) / 2)) AS y FROM d WHERE {_INSIDE}),
+q AS (SELECT DISTINCT 6378137 * radians(longitude) AS px, 6378137 * ln(tan(pi() / 4 + radians(latitude) / 2)) AS py FROM p),
+near AS (SELECT DISTINCT candidate FROM i JOIN (SELECT *, CAST(floor(px / 7500) AS BIGINT) + di AS bx, CAST(floor(py / 7500) AS BIGINT) + dj AS bz FROM q, (SELECT unnest([-1, 0, 1]) AS di) AS e, (SELECT unnest([-1, 0, 1]) AS dj) AS f) AS q
+  ON CAST(floor(x / 7500) AS BIGINT) = bx AND CAST(floor(y / 7500) AS BIGINT) = bz WHERE (x - px) * (x - px) + (y - py) * (y - py) <= 7500.0 * 7500.0)
+SELECT candidate, {r('latitude')} AS latitude, {r('longitude')} AS longitude, country_code, CAST(NULL AS DATE) AS flood_start_date, 0 AS target
+FROM i WHERE candidate NOT IN (SELECT candidate FROM near) ORDER BY candidate LIMIT (SELECT count(*) FROM p)
+""")
 def _(x):
-    return negatives.negatives_spatial(_with_country(x), _countries(x), metres=7500.0)
+    return rounded(negatives.negatives_spatial(_with_country(x), _countries(x), metres=7500.0))
 
 
-@query("negatives_bbox")
+@query("negatives_bbox", f"""
+WITH {_TRIANGLES},
+box AS (SELECT min(x0) AS xa, max(x0) + 25 AS xb, min(y0) AS ya, max(y0) + 15 AS yb FROM tri),
+c AS (SELECT unnest(range(0, (SELECT count(*) * 8 + 1000 FROM fx_events))) AS candidate),
+d AS (SELECT candidate, xa + {_UNIT.format(seed=K.SEED)} * (xb - xa) AS longitude, ya + {_UNIT.format(seed=K.SEED + 1)} * (yb - ya) AS latitude FROM c, box),
+i AS (SELECT candidate, latitude, longitude, min(country_code) AS country_code FROM d JOIN tri ON {_INSIDE} GROUP BY 1, 2, 3)
+SELECT candidate, {r('latitude')} AS latitude, {r('longitude')} AS longitude, country_code, CAST(NULL AS DATE) AS flood_start_date, 0 AS target
+FROM i ORDER BY candidate LIMIT (SELECT CAST(floor(count(*) * 1.5E0) AS BIGINT) FROM fx_events)
+""")
 def _(x):
-    return negatives.negatives_bbox(x.fx_events, _countries(x))
+    return rounded(negatives.negatives_bbox(x.fx_events, _countries(x)))
 
 
 # ---- sources and sinks ---------------------------------------------------------------------------
@@ -211,16 +238,22 @@ def _(x):
 
 
 @query("read_yearly_files", """
-SELECT concat('enriched_events_', CAST(year(flood_start_date) AS VARCHAR), '.csv') AS file_name, count(*) AS n FROM fx_events GROUP BY 1
+SELECT concat('enriched_events_', CAST(year(flood_start_date) AS VARCHAR), '.csv') AS file_name, true AS has_bytes, count(*) AS n FROM fx_events GROUP BY 1
 """)
 def _(x):
     path = scratch_path(x.spark, "yearly")
     named = x.fx_events.select("event_id", F.concat(F.lit("enriched_events_"), F.year("flood_start_date"), F.lit(".csv")).alias("name"))
-    named.write.partitionBy("name").option("header", True).csv(path)
-    # files of one name share a folder here; the glob applies to the folder
-    df = event_files.read_events(x.spark, f"{path}/name=enriched_events_*.csv", with_file=False)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"name=([^/]+)/", 1)
-    return df.groupBy(folder.alias("file_name")).agg(F.count(F.lit(1)).alias("n"))
+    named.repartition("name").write.partitionBy("name").option("header", True).csv(path)
+    # one file per name, as the exports have them
+    fs_path = x.spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(x.spark._jsc.hadoopConfiguration())
+    for part in fs.globStatus(fs_path(f"{path}/name=*/*.csv")):
+        source = part.getPath()
+        fs.rename(source, fs_path(f"{path}/{source.getParent().getName().removeprefix('name=')}"))
+    names = event_files.list_inputs(x.spark, path)
+    df = event_files.read_events(x.spark, path, name_glob="enriched_events_*.csv", with_file=True)
+    counts = df.groupBy(F.col("source_file").alias("file_name")).agg(F.count(F.lit(1)).alias("n"))
+    return names.join(counts, "file_name", "left").select("file_name", (F.col("bytes") > 0).alias("has_bytes"), "n")
 
 
 @query("read_many", """
@@ -275,11 +308,11 @@ def _(x):
     return feature_store.load_features(x.spark, key, folder).withColumns({"found": F.lit(found), "other_found": F.lit(other)})
 
 
-@query("load_or_compute", "SELECT event_id, 'first' AS made FROM fx_events")
+@query("load_or_compute", "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'second' ELSE 'first' END AS made FROM fx_events")
 def _(x):
     folder, key, df = scratch_path(x.spark, "store"), {"type": "rows"}, x.fx_events.select("event_id")
-    feature_store.load_or_compute(x.spark, key, df, lambda d: d.withColumn("made", F.lit("first")), folder)
-    return feature_store.load_or_compute(x.spark, key, df, lambda d: d.withColumn("made", F.lit("second")), folder)
+    feature_store.load_or_compute(x.spark, key, df.where("event_id % 10 > 0"), lambda d: d.withColumn("made", F.lit("first")), folder, ["event_id"])
+    return feature_store.load_or_compute(x.spark, key, df, lambda d: d.withColumn("made", F.lit("second")), folder, ["event_id"])
 
 
 @query("read_grid", f"SELECT source, variable, count(*) AS n, {r('sum(value)', 3)} AS total FROM fx_obs GROUP BY source, variable")

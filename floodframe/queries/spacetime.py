@@ -7,6 +7,8 @@ from floodframe.functions import indices
 from floodframe.operators import forecast, rules, spacetime, terrain, zonal
 from floodframe.plans import enrichment
 from floodframe.queries.base import query, r, rounded
+from floodframe.session import scratch_path
+from floodframe.sources import grids
 
 _FT = "lower(coalesce(flood_type, ''))"
 _BUFFER = f"CASE WHEN regexp_matches({_FT}, 'flash|urban|local') THEN 25000.0 WHEN regexp_matches({_FT}, 'riverine|river|coastal') THEN 50000.0 ELSE 25000.0 END"
@@ -58,15 +60,26 @@ def _(x):
     return rounded(out.select("event_id", "gee_imerg_sum_24h_mm", "gee_imerg_max_1h_intensity_mm"), 4)
 
 
-@query("rain_antecedent", _window_sql(
+_ANTECEDENT = _window_sql(
     {"s3": f"sum({_at(-3, 0)}) * 0.5E0", "s7": f"sum({_at(-7, 0)}) * 0.5E0"},
     {"gee_imerg_sum_3d_before_mm": "s3", "gee_imerg_sum_7d_before_mm": "s7", "gee_imerg_intensity_3d_mm_per_day": "s3 / 3", "gee_imerg_intensity_7d_mm_per_day": "s7 / 7"},
-    -7, 0))
+    -7, 0)
+
+
+@query("rain_antecedent", _ANTECEDENT)
 def _(x):
     out = spacetime.rain_antecedent(x.fx_anchors, x.fx_obs)
     return rounded(out.drop("flood_start_date", "latitude", "longitude", "flood_type"), 4)
 
 
+@query("rain_by_month", _ANTECEDENT)
+def _(x):
+    path = scratch_path(x.spark, "obs")
+    grids.write_grid(x.fx_obs.drop("obs_id"), path)
+    out = spacetime.rain_antecedent(x.fx_anchors, grids.read_grid(x.spark, path))
+    return rounded(out.drop("flood_start_date", "latitude", "longitude", "flood_type"), 4)
+
+
 @query("rain_max_daily", f"""
 WITH {_pairs()},
 daily AS (SELECT event_id, p.cell_id, CAST(ts AS DATE) AS day, sum(value) * 0.5E0 AS s FROM pair AS p JOIN fx_obs AS o ON o.cell_id = p.cell_id
@@ -371,13 +384,19 @@ _PLAIN = _FC.replace(" * GROW", "")
 _EVENTS = f"(SELECT *, {_FC_BUFFER} AS b, {_FC_STRATEGY} AS strategy FROM fx_fc_events)"
 
 
+def _noisy(x):
+    """The forecast table with a second variable, and every row twice."""
+    other = x.fx_forecast.withColumns({"variable": F.lit("swe"), "value": F.lit(0.0)})
+    return x.fx_forecast.unionByName(x.fx_forecast).unionByName(other)
+
+
 @query("forecast_nearest", f"""
 WITH {_PLAIN.lstrip()}
 SELECT e.event_id, {r("f.value", 4)} AS glofas_forecast_control FROM {_EVENTS} AS e JOIN near AS n ON n.latitude = e.latitude AND n.longitude = e.longitude AND n.b = e.b
 JOIN issue AS i ON i.d = e.flood_start_date JOIN fx_forecast AS f ON f.cell_id = n.cell_id AND f.ts = i.ts AND f.product = 'cf'
 """)
 def _(x):
-    return rounded(forecast.forecast_nearest(x.fx_fc_events, x.fx_forecast).select("event_id", "glofas_forecast_control"), 4)
+    return rounded(forecast.forecast_nearest(x.fx_fc_events, _noisy(x)).select("event_id", "glofas_forecast_control"), 4)
 
 
 @query("forecast_bbox_mean", f"""
@@ -387,7 +406,7 @@ SELECT e.event_id, {r("v.value", 4)} AS glofas_forecast_control FROM {_EVENTS} A
 JOIN v ON v.latitude = e.latitude AND v.longitude = e.longitude AND v.b = e.b AND v.ts = i.ts
 """)
 def _(x):
-    return rounded(forecast.forecast_bbox_mean(x.fx_fc_events, x.fx_forecast).select("event_id", "glofas_forecast_control"), 4)
+    return rounded(forecast.forecast_bbox_mean(x.fx_fc_events, _noisy(x)).select("event_id", "glofas_forecast_control"), 4)
 
 
 _MEMBERS = """
@@ -405,7 +424,7 @@ WITH {_PLAIN.lstrip()}, {_MEMBERS.lstrip()}
 SELECT e.event_id, {_ENSEMBLE} FROM {_EVENTS} AS e JOIN issue AS i ON i.d = e.flood_start_date JOIN s ON {_MATCH}
 """)
 def _(x):
-    out = forecast.ensemble_stats(x.fx_fc_events, x.fx_forecast)
+    out = forecast.ensemble_stats(x.fx_fc_events, _noisy(x))
     return rounded(out.select("event_id", *K.FORECAST_FEATURES[1:]), 4)
 
 
@@ -416,10 +435,15 @@ def _(x):
     return rounded(picked.select("cell_id", F.to_date("ts").alias("day"), "member", "value"), 4)
 
 
-@query("control_and_perturbed", "SELECT product, count(*) AS n FROM fx_forecast GROUP BY product")
+@query("control_and_perturbed", f"""
+WITH {_PLAIN.lstrip()}, {_MEMBERS.lstrip()}
+SELECT e.event_id, {r("c.value", 4)} AS control, {r("mean", 4)} AS perturbed FROM {_EVENTS} AS e JOIN issue AS i ON i.d = e.flood_start_date JOIN s ON {_MATCH}
+JOIN near AS n ON n.latitude = e.latitude AND n.longitude = e.longitude AND n.b = e.b JOIN fx_forecast AS c ON c.cell_id = n.cell_id AND c.ts = i.ts AND c.product = 'cf'
+""")
 def _(x):
-    parts = [x.fx_forecast.where(F.col("product") == p).groupBy("product").agg(F.count(F.lit(1)).alias("n")) for p in ("cf", "pf")]
-    return parts[0].unionByName(parts[1])
+    control = forecast.forecast_nearest(x.fx_fc_events, x.fx_forecast).select("event_id", F.col("glofas_forecast_control").alias("control"))
+    perturbed = forecast.ensemble_stats(x.fx_fc_events, x.fx_forecast).select("event_id", F.col("glofas_forecast_mean").alias("perturbed"))
+    return rounded(control.join(perturbed, "event_id"), 4)
 
 
 @query("with_forecast", f"""
@@ -428,7 +452,7 @@ SELECT e.event_id, CASE WHEN e.flood_start_date >= DATE '2019-11-05' THEN e.stra
 FROM {_EVENTS} AS e JOIN issue AS i ON i.d = e.flood_start_date LEFT JOIN s ON {_MATCH} AND e.flood_start_date >= DATE '2019-11-05'
 """)
 def _(x):
-    out = forecast.with_forecast(x.fx_fc_events, x.fx_forecast)
+    out = forecast.with_forecast(x.fx_fc_events, _noisy(x))
     return rounded(out.select("event_id", "forecast_spatial_strategy", *K.FORECAST_FEATURES), 4)
 
 

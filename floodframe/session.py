@@ -1,8 +1,7 @@
 """Session settings the library relies on, and the shared scratch folder."""
 
-import tempfile
 import uuid
-from functools import cache
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,23 +21,31 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir``; a temporary one only in local mode without it."""
+    """Folder all executors can reach: ``spark.checkpoint.dir``, else one under the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return _local_folder()
+    return path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="floodframe-")
+_SCOPES: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Scope for intermediate tables: what is written inside it is deleted at its end, so write or collect results before."""
+    base = f"{shared_dir(spark).rstrip('/')}/scope-{uuid.uuid4().hex}"
+    _SCOPES.append(base)
+    try:
+        yield base
+    finally:
+        _SCOPES.remove(base)
+        where = spark._jvm.org.apache.hadoop.fs.Path(base)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the open scope, or under the shared folder."""
+    base = _SCOPES[-1] if _SCOPES else shared_dir(spark).rstrip("/")
+    return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(spark: SparkSession, df: DataFrame) -> DataFrame:

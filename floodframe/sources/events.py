@@ -24,31 +24,37 @@ def read_events(
 
 
 def list_inputs(spark: SparkSession, path: str, name_glob: str = "enriched_events_*.csv") -> DataFrame:
-    """Names of the matching files, in name order."""
-    files = spark.read.option("pathGlobFilter", name_glob).text(path)
-    return files.select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_size").alias("bytes")).distinct().orderBy("file_name")
+    """Names and sizes of the matching files, in name order. Only the listing is read, no contents."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", name_glob).load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("bytes")).orderBy("file_name")
 
 
 def read_many(spark: SparkSession, path: str, name_glob: str = "*.csv") -> DataFrame:
     """Union of CSV files whose columns differ.
 
-    Header lines are taken from the files in parallel; files sharing a header are read together, so
-    the number of scans is the number of distinct headers, not of files.
+    One line per file is read for its header; files sharing a header are then scanned together, so the number of scans is the
+    number of distinct headers, not of files.
     """
-    lines = spark.read.option("pathGlobFilter", name_glob).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
-        F.monotonically_increasing_id().alias("line"), "value",
-    )
-    headers = lines.where(F.col("at") == 0).groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", name_glob).load(path).select("path").orderBy("path")
     groups: dict[str, list[str]] = {}
-    for row in headers.orderBy("file").collect():
-        groups.setdefault(row["header"], []).append(row["file"])
+    for row in files.toLocalIterator():
+        groups.setdefault(_first_line(spark, row["path"]), []).append(row["path"])
     if not groups:
         raise FileNotFoundError(f"no {name_glob} files in {path}")
     frames = [spark.read.option("header", True).csv(files) for files in groups.values()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def _first_line(spark: SparkSession, path: str) -> str:
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine() or ""
+    finally:
+        stream.close()
+
+
 def parse_pixel_sample(df: DataFrame, geo: str = ".geo", drop: tuple[str, ...] = (".geo", "system:index")) -> DataFrame:
     """Longitude and latitude from the GeoJSON point column; index columns dropped."""
     point = F.from_json(F.col(f"`{geo}`"), "type STRING, coordinates ARRAY<DOUBLE>")

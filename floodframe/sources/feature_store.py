@@ -1,6 +1,6 @@
 """Feature tables cached under a hash of their identifiers."""
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,11 +34,17 @@ def load_features(spark: SparkSession, key: Mapping[str, object], folder: str) -
 
 def load_or_compute(
     spark: SparkSession, key: Mapping[str, object], df: DataFrame, compute: Callable[[DataFrame], DataFrame],
-    folder: str, share: float = 0.9,
+    folder: str, on: Sequence[str],
 ) -> DataFrame:
-    """The cached table if it has at least ``share`` of the rows of ``df``, else compute, store and read it."""
-    cached = load_features(spark, key, folder)
-    if cached is not None and cached.count() >= share * df.count():
-        return cached
-    save_features(compute(df), key, folder)
-    return load_features(spark, key, folder)
+    """Features of every row of ``df``, computing only rows whose ``on`` columns the cached table lacks.
+
+    New rows are appended to the cache. Runs a look-up job, and the computation where something is missing.
+    """
+    cached, on = load_features(spark, key, folder), list(on)
+    if cached is None:
+        save_features(compute(df), key, folder)
+    else:
+        missing = df.join(cached.select(*on).distinct(), on, "left_anti")
+        if not missing.isEmpty():
+            compute(missing).write.mode("append").parquet(feature_path(key, folder))
+    return load_features(spark, key, folder).join(df.select(*on).distinct(), on, "left_semi")

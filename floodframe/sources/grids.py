@@ -21,6 +21,7 @@ def read_grid(spark: SparkSession, path: str, kind: str = "obs") -> DataFrame:
 
 
 def write_grid(df: DataFrame, path: str) -> None:
-    """Observations by source and month, so scans prune to the months a job needs."""
+    """A grid table by month, and by source where it has one, so scans prune to what a job needs."""
+    keys = [c for c in ("source", "obs_month") if c == "obs_month" or c in df.columns]
     parts = df.withColumn("obs_month", F.date_format("ts", "yyyy-MM"))
-    parts.hint("rebalance", F.col("source"), F.col("obs_month")).write.mode("overwrite").partitionBy("source", "obs_month").parquet(path)
+    parts.hint("rebalance", *map(F.col, keys)).write.mode("overwrite").partitionBy(*keys).parquet(path)

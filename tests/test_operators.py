@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from floodframe import constants as K
 from floodframe.operators import chunks, features, forecast, local, metrics, negatives, ranking, scoring, spacetime, terrain, train, zones
 from floodframe.operators.cleaning import impute_median
-from floodframe.sources import events as event_files, feature_store, sinks
+from floodframe.sources import events as event_files, feature_store, grids, sinks
 from floodframe.session import scratch_path
 from floodframe.streaming.enrich import stream_enrich
 
@@ -112,6 +112,76 @@ def test_spatial_negatives(spark):
     assert negatives.negatives_bbox(pos, _square(spark)).count() == 75
 
 
+def test_negatives_are_complete_or_refused(spark):
+    pos = spark.createDataFrame([("aa", 5.0, 5.0)] * 30, "country_code string, latitude double, longitude double")
+    sliver = spark.sql("SELECT 'AA' AS country_code, array(struct(0D AS x, 0D AS y), struct(10D AS x, 10D AS y), struct(10D AS x, 9.9D AS y)) AS ring")
+    assert negatives.negatives_bbox(pos, sliver).count() == 45  # one candidate in two hundred lies inside
+    with pytest.raises(ValueError, match="room for only 0 of 30"):
+        negatives.negatives_spatial(pos, _square(spark), metres=3_000_000, give_up=2000)
+
+
+def _scanned(df):
+    """Files and rows read by each scan of a plan that has run, by table folder."""
+    out = []
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if "QueryStageExec" in name:
+            return walk(node.plan())
+        if name == "FileSourceScanExec":
+            out.append((node.metrics().apply("numFiles").value(), node.metrics().apply("numOutputRows").value()))
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    df.collect()
+    walk(df._jdf.queryExecution().executedPlan())
+    return out
+
+
+def test_windows_read_only_months_in_reach(spark, tmp_path):
+    days = [(c, datetime(y, m, 9), float(m)) for c in range(3) for y in (2021, 2024) for m in range(1, 13)]
+    obs = _obs(spark, days).unionByName(_obs(spark, days).withColumn("source", F.lit("other")))
+    grids.write_grid(obs, str(tmp_path / "obs"))
+    table = grids.read_grid(spark, str(tmp_path / "obs"))
+    out = spacetime.rain_features(_event(spark), table)
+    scans = _scanned(out)
+    assert scans and all(files == 1 and rows == 3 for files, rows in scans)  # of 48 files: one month in reach, one source, three cells
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in spacetime.rain_features(_event(spark), _obs(spark, days)).collect()}
+
+
+def test_forecasts_read_only_wanted_months_and_one_variable(spark, tmp_path):
+    rows = [(c, 10.0 + c, 20.0, datetime(2024, m, 5), p, k, v, float(100 * m + c + k) if v == "dis24" else 0.0)
+            for c in range(2) for m in range(1, 13) for p, k in (("cf", 0), ("pf", 1), ("pf", 2)) for v in ("dis24", "swe") for _ in range(2)]
+    fc = spark.createDataFrame(rows, grids.GRID_SCHEMAS["forecast"])
+    grids.write_grid(fc, str(tmp_path / "fc"))
+    table = grids.read_grid(spark, str(tmp_path / "fc"), "forecast")
+    event = _event(spark, date(2024, 6, 4))
+    out = forecast.with_forecast(event, table)
+    assert any(files == 1 for files, _ in _scanned(out))
+    row = out.first()
+    assert (row.glofas_forecast_control, row.glofas_forecast_mean, row.glofas_forecast_median) == (600.0, 601.5, 601.5)
+    assert forecast.forecast_nearest(event, fc).first().glofas_forecast_control == 600.0
+
+
+def test_quantile_brackets_are_checked(spark):
+    values = [float(i // 3) for i in range(30_000)] + [1e9] * 5
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(4)
+    row = ranking.exact_quantiles(df, ["x"], [0.0, 0.25, 0.5, 0.9999, 1.0]).first()
+    assert [row[f"q{i}"] for i in range(5)] == pytest.approx(list(np.quantile(values, [0, 0.25, 0.5, 0.9999, 1])))
+
+
+def test_scratch_scope_removes_what_it_made(spark, tmp_path):
+    from floodframe import session
+
+    with session.scratch(spark) as base:
+        df = session.cut_lineage(spark, spark.range(5))
+        assert df.count() == 5 and df.inputFiles()[0].split("://")[-1].count("/scope-") == 1
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def test_nearest_on_axis(spark):
     axis = spark.createDataFrame([(-10.0,), (0.0,), (1.0,), (5.0,)], "v double")
     rng = np.random.default_rng(2).uniform(-30, 30, 200)
@@ -221,9 +291,14 @@ def test_components_chain(spark):
     assert labels == {**{i: 0 for i in range(61)}, 61: 61, 62: 62, 63: 63}
 
 
+def noise_of(spark):
+    return spark.sql("SELECT CAST(id AS DOUBLE) AS latitude, CAST(id % 7 AS DOUBLE) AS longitude, rand(5) AS Final_Risk_Score FROM range(30)")
+
+
 def test_zones_small_and_noise(spark):
     few = spark.createDataFrame([(0.0, 0.0, 0.1)] * 3, "latitude double, longitude double, Final_Risk_Score double")
-    assert {r.Risk_Zone for r in zones.risk_zones(few).collect()} == {"Uncategorized"}
+    assert {r.Risk_Zone for r in zones.risk_zones(few).collect()} == {"Uncategorized"}  # noise like any other
+    assert zones.spatial_clusters(noise_of(spark), method="kmeans", k=3).select("spatial_cluster").distinct().count() == 3
     noise = spark.sql("SELECT CAST(id AS DOUBLE) AS latitude, CAST(id % 7 AS DOUBLE) AS longitude, rand(5) AS Final_Risk_Score FROM range(30)")
     assert {r.Risk_Zone for r in zones.risk_zones(noise, min_samples=20).collect()} == {"Uncategorized"}
     assert zones.spatial_clusters(noise, min_samples=20).agg(F.min("spatial_cluster")).first()[0] == 0
@@ -265,9 +340,9 @@ def test_read_many_and_cache(spark, tmp_path):
     assert feature_store.load_features(spark, key, str(tmp_path)) is None
     calls = []
     make = lambda d: calls.append(1) or d
-    for n in (10, 11, 20):
-        feature_store.load_or_compute(spark, key, spark.range(n), make, str(tmp_path))
-    assert len(calls) == 2  # 10 rows serve 11, not 20
+    for n, rows in ((10, 10), (11, 11), (5, 5), (20, 20)):
+        assert feature_store.load_or_compute(spark, key, spark.range(n), make, str(tmp_path), ["id"]).count() == rows
+    assert len(calls) == 3  # all, one and nine more; nothing for the five known ones
 
 
 def test_stream_resumes(spark, tmp_path):

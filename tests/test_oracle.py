@@ -7,8 +7,7 @@ from tests import oracle_check
 
 SF = "/root/testdata/sf0.001"
 ORACLE = entry.oracle_sql()
-# clusters of this tiny scale are all noise, which takes the random fallback
-NAMES = sorted(n for n in ORACLE if n not in ("spatial_clusters",))
+NAMES = sorted(ORACLE)
 
 
 @pytest.fixture(scope="module")

@@ -187,8 +187,22 @@ DYNAMIC_FEATURES = (
     "gee_imerg_max_3h_intensity_mm", "gee_imerg_max_6h_intensity_mm",
     "gee_imerg_sum_24h_mm", "gee_imerg_sum_3d_before_mm", "gee_precip_x_slope",
     "gee_runoff_potential", "gee_smap_soil_moisture_anomaly",
-) + FORECAST_FEATURES + ("imerg_max_1h_intensity_mm", "imerg_mean_1h_intensity_mm")
-FULL_FEATURES = tuple(sorted(set(STATIC_FEATURES) | set(DYNAMIC_FEATURES)))
+    "glofas_forecast_10th_percentile", "glofas_forecast_90th_percentile", "glofas_forecast_control",
+    "glofas_forecast_mean", "glofas_forecast_median", "glofas_forecast_std_dev",
+    "imerg_max_1h_intensity_mm", "imerg_mean_1h_intensity_mm",
+)
+# the order of a role is part of the model's input, so it is stated and not derived
+FULL_FEATURES = (
+    "imerg_max_1h_intensity_mm", "imerg_mean_1h_intensity_mm", "gee_imerg_sum_24h_mm", "gee_imerg_max_1h_intensity_mm",
+    "gee_imerg_max_3h_intensity_mm", "gee_imerg_max_6h_intensity_mm", "gee_imerg_sum_3d_before_mm", "gee_imerg_sum_7d_before_mm",
+    "gee_imerg_max_daily_7d_mm", "gee_imerg_intensity_3d_mm_per_day", "gee_imerg_intensity_7d_mm_per_day",
+    "gee_smap_surface_soil_moisture", "gee_smap_subsurface_soil_moisture", "gee_smap_soil_moisture_anomaly",
+    "gee_antecedent_moisture_proxy", "gee_flashiness_index_7d", "gee_api_weighted_mm", "gee_flashiness_index", "gee_saturation_proxy",
+    "gee_runoff_potential", "gee_aspect_mean", "gee_elevation_mean", "gee_slope_mean", "gee_gsw_occurrence_mean", "gee_merit_upa_mean",
+    "gee_twi", "gee_ndvi_mean_30d", "gee_ndbi_mean_30d", "gee_ndwi_mean_30d", "gee_precip_x_slope",
+    "glofas_forecast_control", "glofas_forecast_mean", "glofas_forecast_median", "glofas_forecast_std_dev",
+    "glofas_forecast_10th_percentile", "glofas_forecast_90th_percentile",
+)
 FEATURE_ROLES = {"static": STATIC_FEATURES, "dynamic": DYNAMIC_FEATURES, "full": FULL_FEATURES}
 STATIC_BASELINE = (
     "gee_aspect_mean", "gee_elevation_mean", "gee_slope_mean",

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from floodframe.llm import classifier, decontaminate, neardup, packing, passages
 from floodframe.llm.common import bounded, prepare, scratch_path, table
 
+#: Words of a shingle of the near-duplicate stage.
+SHINGLE = 5
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality classifier accepts."""
@@ -19,9 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group, by five-word shingles."""
     prepare(spark)
-    return neardup.one_of_each(docs)
+    return neardup.one_of_each(docs, SHINGLE)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Near-duplicate documents by SetSketch registers.
 
-A document's set holds its distinct two-word shingles. Each shingle deals exponentially spaced values, one from each of ``REGISTERS``
+A document's set holds its distinct shingles of ``width`` words. Each shingle deals exponentially spaced values, one from each of ``REGISTERS``
 equally likely intervals, to the registers in an order of its own; a register keeps the least value it gets, on a logarithmic scale.
 Registers of a union are the maxima of both sides' registers, and two documents agree in a register about as often as their sets
 overlap. Bands of registers propose pairs, a joint likelihood over the registers and both set sizes drops hopeless ones, and the full
@@ -9,7 +9,7 @@ sets decide: linked if 100 * |A and B| >= 80 * |A or B|. A link at 0.8 shares no
 Skew. Equal sets are one node from the start. In each round a document is compared with one centre of its bands; what is connected by
 then needs no further comparison. What shares a band but no component after ``STAR_ROUNDS`` is compared whole, in blocks of documents.
 
-Defined results: null, empty and wordless texts have an empty set, are linked with nothing and kept; one word is one shingle; rows
+Defined results: null, empty and wordless texts have an empty set, are linked with nothing and kept; a text of fewer words than a shingle is one shingle; rows
 with a null id are linked with nothing and kept; rows that share an id are one document (linked even if their texts differ); ties go
 to the smallest id; other columns are ignored.
 """
@@ -36,13 +36,19 @@ STAR_ROUNDS = 2
 BLOCK_BYTES, VISITORS = 2 << 20, 2000
 
 
-def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(column: pa.Array, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts, text after text, and each text's first."""
     w = W.scan(column, W.SPACED, lower=True)
-    pair, at = W.ngrams(w, 2)
-    single = w.first[:-1][np.diff(w.first) == 1]
-    value = np.concatenate([pair, W.mix(w.ids[single] ^ U64(0xA5A5A5A5))])
-    doc = w.doc()[np.concatenate([at, single])]
+    value, at = W.ngrams(w, width)
+    parts, places = [value], [at]
+    for n in range(1, width):  # texts of n words, whole
+        short = w.first[:-1][np.diff(w.first) == n]
+        whole = w.ids[short]
+        for k in range(1, n):
+            whole = W.join(whole, w.ids[short + k])
+        parts.append(W.mix(whole ^ U64(0xA5A5A5A5)))
+        places.append(short)
+    value, doc = np.concatenate(parts), w.doc()[np.concatenate(places)]
     order = np.lexsort((value, doc))
     value, doc = value[order], doc[order]
     new = np.ones(len(value), bool)
@@ -79,11 +85,11 @@ def sketches(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.clip(scale + 20000, 0, TOP).astype(np.uint16)
 
 
-def sketch_table(docs: DataFrame) -> DataFrame:
+def sketch_table(docs: DataFrame, width: int = 2) -> DataFrame:
     """``doc_id``, ``n_shingles``, two 64-bit digests of the set, and the registers."""
     def run(batches):
         for batch in batches:
-            value, first = shingle_sets(batch.column("text"))
+            value, first = shingle_sets(batch.column("text"), width)
             n = np.diff(first)
             digest = [W.per_text(first, x.astype(np.int64)) for x in (W.mix(value), W.mix(value ^ U64(0x5DEECE66D)))]
             rows = sketches(value, first)
@@ -114,7 +120,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (low + high) / 2
 
 
-def _confirmed(pairs: DataFrame, known: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, known: DataFrame, width: int) -> DataFrame:
     """Pairs whose full sets are linked; those whose sizes or registers allow no link are not compared."""
     side = lambda x: known.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n_shingles", "registers", "text")])
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -125,13 +131,13 @@ def _confirmed(pairs: DataFrame, known: DataFrame) -> DataFrame:
                 a, b = (np.frombuffer(b"".join(batch.column(f"registers_{x}").to_pylist()), np.uint16).reshape(-1, REGISTERS) for x in "ab")
                 likely = estimate(a, b, batch.column("n_shingles_a").to_numpy().astype(float), batch.column("n_shingles_b").to_numpy().astype(float))
                 batch = batch.filter(pa.array(likely >= LEAST_ESTIMATE))
-                yield batch.select(["a", "b"]).filter(pa.array(_linked(batch.column("text_a"), batch.column("text_b"))))
+                yield batch.select(["a", "b"]).filter(pa.array(_linked(batch.column("text_a"), batch.column("text_b"), width)))
 
     columns = ["a", "b", *[f"{c}_{x}" for x in "ab" for c in ("n_shingles", "registers", "text")]]
     return joined.select(columns).mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def _confirmed_in_blocks(named: DataFrame, known: DataFrame) -> DataFrame:
+def _confirmed_in_blocks(named: DataFrame, known: DataFrame, width: int) -> DataFrame:
     """All links between documents of different labels that share a key of ``named(key, node, label)``.
 
     Documents are dealt to blocks of about ``BLOCK_BYTES`` of text. One that is not of a key's most frequent label is compared with every block
@@ -156,7 +162,7 @@ def _confirmed_in_blocks(named: DataFrame, known: DataFrame) -> DataFrame:
     kind = known.schema["doc_id"].dataType.simpleString()
 
     def run(block_docs, visiting):
-        (x, at_x), (y, at_y) = (shingle_sets(t.column(c).combine_chunks()) for t, c in ((block_docs, "text"), (visiting, "own_text")))
+        (x, at_x), (y, at_y) = (shingle_sets(t.column(c).combine_chunks(), width) for t, c in ((block_docs, "text"), (visiting, "own_text")))
         doc = np.repeat(np.arange(len(at_x) - 1), np.diff(at_x))
         order = np.argsort(x, kind="stable")
         x, doc = x[order], doc[order]
@@ -180,9 +186,9 @@ def _confirmed_in_blocks(named: DataFrame, known: DataFrame) -> DataFrame:
     return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, f"a {kind}, b {kind}")
 
 
-def _linked(a: pa.Array, b: pa.Array) -> np.ndarray:
+def _linked(a: pa.Array, b: pa.Array, width: int) -> np.ndarray:
     """Whether the full sets of each row's two texts are linked."""
-    (x, at_x), (y, at_y) = shingle_sets(a), shingle_sets(b)
+    (x, at_x), (y, at_y) = shingle_sets(a, width), shingle_sets(b, width)
     row = np.concatenate([np.repeat(np.arange(len(a)), np.diff(f)) for f in (at_x, at_y)])
     own = W.join(np.concatenate([x, y]), row.astype(U64))
     order = np.argsort(own)
@@ -202,14 +208,14 @@ def _members(nodes: DataFrame) -> DataFrame:
     return rows.join(bounded(cut_lineage(nodes.sparkSession, shared)), "key")  # written first, so that the join can split a hot key
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row of ``docs(doc_id, text)``.
 
     Runs jobs while the plan is built; sketches, shared band keys and links go to the shared folder.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    table = cut_lineage(spark, sketch_table(docs))
+    table = cut_lineage(spark, sketch_table(docs, width))
     real = table.where("n_shingles > 0 and doc_id is not null")
     digest = ["h1", "h2", "n_shingles"]
     copied = real.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
@@ -242,9 +248,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             met = named.join(bounded(cut_lineage(spark, centre)), "key").where(near).groupBy("node", "centre").agg(F.count(F.lit(1)).alias("bands"))
             pairs = met.groupBy("node").agg(F.max_by("centre", F.struct("bands", -F.col("centre"))).alias("centre"))
             pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-            found = _confirmed(pairs, known)
+            found = _confirmed(pairs, known, width)
         else:
-            found = _confirmed_in_blocks(named, known)
+            found = _confirmed_in_blocks(named, known, width)
         links = links.unionByName(cut_lineage(spark, found))
         labels = components(links)
     joined = rows.join(bounded(labels.withColumnRenamed("v", "node")), "node", "left")
@@ -252,9 +258,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 2) -> DataFrame:
     """The rows of ``docs`` whose document is kept, with all their columns; rows that repeat an id become the least of them."""
-    judged = cut_lineage(docs.sparkSession, near_duplicates(docs))
+    judged = cut_lineage(docs.sparkSession, near_duplicates(docs, width))
     out = docs.join(bounded(judged.where("not kept").select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
     repeated = judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     if repeated.isEmpty():

@@ -1,5 +1,7 @@
 """The pipeline's stages keep columns and rows as they should, and its result is a whole packing."""
 
+import random
+
 import corpus_pipeline
 from floodframe.llm.common import prepare, table
 
@@ -35,3 +37,27 @@ def test_extra_columns_and_odd_rows(spark):
             assert out.columns == docs.columns, name
         out.collect()
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_near_duplicates_by_five_words(spark):
+    rng = random.Random(7)
+    rows = [(900, "a b c"), (901, "a b c"), (902, "a b d"), (903, "a b c d")]
+    for d, gap in enumerate((20, 20, 30, 30, 40, 60, 60, 90)):
+        base = [f"w{rng.randrange(5000)}" for _ in range(360)]
+        rows += [(10 * d + k, " ".join(f"e{d}-{k}-{i}" if k and i % gap == gap // 2 else w for i, w in enumerate(base))) for k in range(3)]
+    sets, parent = {}, {d: d for d, _ in rows}
+    for d, t in rows:
+        w = t.split()
+        sets[d] = {tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))}
+
+    def root(d):
+        return d if parent[d] == d else root(parent[d])
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    docs = prepare(spark).createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert kept == {d for d in sets if root(d) == d} and len(rows) > len(kept) > 15

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
-from floodframe.llm import classifier, decontaminate, licences, lm, neardup, packing, passages, rules, token_files, urls
+from floodframe.llm import classifier, collocations, decontaminate, licences, lm, neardup, neighbours, packing, passages, rules, token_files, turns, urls
 from floodframe.llm.common import prepare, scratch_path, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -73,7 +73,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_repeated_passages, op4_near_duplicates, op5_pack, op6_token_files, op7_licences, op8_url_filter, op9_lm_score, op10_quality_classifier)}
+def op11_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return collocations.top_phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return turns.prefix_trie(turns.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_repeated_passages, op4_near_duplicates, op5_pack, op6_token_files, op7_licences, op8_url_filter, op9_lm_score, op10_quality_classifier,
+                                      op11_nearest_vectors, op12_collocations, op13_prefix_trie)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -110,4 +126,6 @@ ORACLE = {
         SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
                WHEN url IN (SELECT url FROM listed) THEN 'block' ELSE 'allow' END AS verdict
         FROM r""",
+    "op12_collocations": collocations.ORACLE,
+    "op13_prefix_trie": turns.ORACLE,
 }

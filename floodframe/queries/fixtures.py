@@ -170,3 +170,9 @@ SELECT year(o_orderdate) AS year, month(o_orderdate) AS month, CASE WHEN day(o_o
   count(*) AS n, CASE WHEN year(o_orderdate) = 1996 OR sum(o_custkey) % 4 > 0 OR year(o_orderdate) = 1997 AND month(o_orderdate) < 3 THEN 'completed' ELSE 'failed' END AS status
 FROM {orders} GROUP BY year(o_orderdate), month(o_orderdate), CASE WHEN day(o_orderdate) <= 15 THEN 1 ELSE 2 END
 """
+
+# hourly issue times with a hole of 400 days, wanted at odd minutes inside it, around it and beyond both ends
+_HOURS = "SELECT DISTINCT date_trunc('hour', CASE WHEN event_id % 2 = 0 THEN ts + INTERVAL '400' DAY ELSE ts END) AS issued FROM {events}"
+FIXTURES["fx_hours"] = (f"SELECT unix_seconds(issued) AS s FROM ({_HOURS}) AS h", f"SELECT CAST(epoch(issued) AS BIGINT) AS s FROM ({_HOURS}) AS h")
+_TIMES = "SELECT event_id, EPOCH + event_id % 7 * 7776000 - CASE WHEN event_id % 11 = 0 THEN 9000000 ELSE 0 END AS s FROM {events}"
+FIXTURES["fx_times"] = (_TIMES.replace("EPOCH", "unix_seconds(date_trunc('minute', ts))"), _TIMES.replace("EPOCH", "CAST(epoch(date_trunc('minute', ts)) AS BIGINT)"))

@@ -465,3 +465,12 @@ FROM {_EVENTS} AS e JOIN issue AS i ON i.d = e.flood_start_date LEFT JOIN s ON {
 def _(x):
     raw = x.fx_fc_events.withColumn("flood_start_date", F.date_format("flood_start_date", "dd/MM/yyyy"))
     return rounded(enrichment.attach_forecasts(raw, x.fx_forecast), 4)
+
+
+@query("nearest_issue_time", """
+WITH low AS (SELECT t.event_id, t.s, h.s AS below FROM fx_times AS t ASOF LEFT JOIN fx_hours AS h ON t.s >= h.s),
+sides AS (SELECT l.event_id, l.s, below, h.s AS above FROM low AS l ASOF LEFT JOIN fx_hours AS h ON l.s <= h.s)
+SELECT event_id, s, CAST(CASE WHEN below IS NULL OR above - s <= s - below THEN above ELSE below END AS BIGINT) AS issue FROM sides
+""")
+def _(x):
+    return forecast.nearest_on_axis(x.fx_times, x.fx_hours, "s", "issue").withColumn("issue", F.col("issue").cast("long"))

@@ -196,6 +196,22 @@ def test_nearest_on_axis(spark):
     assert forecast.nearest_on_axis(tie, single, "v", "n").agg(F.min("n"), F.count("n")).first() == (2.0, 2)
 
 
+def test_nearest_on_axis_with_a_hole_and_many_ranges(spark):
+    hours = [float(h) for h in range(500)] + [float(h) for h in range(9000, 9500)]
+    axis = spark.createDataFrame([(h,) for h in hours], "v double")
+    wanted = [-3.0, 499.0, 500.0, 4749.4, 4749.5, 4749.6, 8999.9, 9700.0, float("nan"), None] + [float(v) + 0.25 for v in np.random.default_rng(4).integers(-50, 9600, 300)]
+    out = forecast.nearest_on_axis(spark.createDataFrame([(v,) for v in wanted], "v double"), axis, "v", "n")
+    assert "explode" not in out._jdf.queryExecution().toString()
+    for r in out.collect():
+        if r.v is None or np.isnan(r.v):
+            assert r.n is None
+        else:
+            gap = np.abs(np.array(hours) - r.v)
+            assert r.n == np.array(hours)[gap == gap.min()].max()
+    assert out.count() == len(wanted)
+    assert forecast.nearest_on_axis(axis, axis.limit(0), "v", "n").agg(F.count("n")).first()[0] == 0
+
+
 def _fc(spark, rows):
     return spark.createDataFrame([(1, 10.0, 20.0, datetime(2024, 1, 10), p, m, "dis24", v) for p, m, v in rows],
                                  "cell_id long, latitude double, longitude double, ts timestamp_ntz, product string, member int, variable string, value double")

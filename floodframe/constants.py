@@ -103,41 +103,55 @@ RANGE_RULES = {
     "gee_gfs_precipitable_water_kg_m2": (0.0, 200.0),
 }
 
-# ---- Fixed values: repair rules, kind -> (low, high, columns) --------------------------------
+# ---- Fixed values: repair rules, feature -> (kind, low, high) ---------------------------------
 REPAIR_RULES = {
-    "bounded": (-1.0, 1.0, (
-        "month_sin", "month_cos", "doy_sin", "doy_cos",
-        "gee_ndvi_mean_30d", "gee_ndbi_mean_30d", "gee_ndwi_mean_30d",
-    )),
-    "fraction": (0.0, 1.0, (
-        "gee_smap_surface_soil_moisture", "gee_smap_subsurface_soil_moisture",
-        "gee_impervious_fraction", "land_fraction_saturated",
-        "land_fraction_unsaturated", "land_fraction_wilting",
-        "land_fraction_snow_covered",
-    )),
-    "percentage": (0.0, 100.0, ("gee_gfs_relative_humidity_pct", "gee_gsw_occurrence_mean")),
-    "angle": (0.0, 360.0, ("gee_aspect_mean",)),
-    "slope": (0.0, 90.0, ("gee_slope_mean",)),
-    "celsius": (-90.0, 60.0, ("gee_gfs_temp2m_celsius",)),
-    "kelvin": (180.0, 350.0, ("surface_temp",)),
-    "pressure": (30000.0, 110000.0, ("gee_gfs_surface_pressure_pa",)),
-    "non_negative": (0.0, None, (
-        "gee_imerg_sum_24h_mm", "gee_imerg_max_1h_intensity_mm",
-        "gee_imerg_max_3h_intensity_mm", "gee_imerg_max_6h_intensity_mm",
-        "gee_imerg_sum_3d_before_mm", "gee_imerg_sum_7d_before_mm",
-        "gee_imerg_max_daily_7d_mm", "imerg_max_1h_intensity_mm",
-        "imerg_mean_1h_intensity_mm", "gee_imerg_intensity_3d_mm_per_day",
-        "gee_imerg_intensity_7d_mm_per_day", "gee_distance_to_river_min_m",
-        "gee_gfs_precipitable_water_kg_m2", "gee_gfs_wind_speed_ms",
-        "gee_flashiness_index", "gee_saturation_proxy", "gee_runoff_potential",
-        "gee_api_weighted_mm", "gee_flashiness_index_7d", "gee_precip_x_slope",
-        "gee_antecedent_moisture_proxy",
-    )),
-    "positive": (0.0, None, ("gee_merit_upa_mean",)),
-    "lower_bound": (-500.0, None, ("gee_elevation_mean",)),
-    "any": (None, None, (
-        "gee_moisture_flux", "gee_twi", "gee_smap_soil_moisture_anomaly",
-    )),
+    "month_sin": ("bounded", -1.0, 1.0),
+    "month_cos": ("bounded", -1.0, 1.0),
+    "doy_sin": ("bounded", -1.0, 1.0),
+    "doy_cos": ("bounded", -1.0, 1.0),
+    "gee_ndvi_mean_30d": ("bounded", -1.0, 1.0),
+    "gee_ndbi_mean_30d": ("bounded", -1.0, 1.0),
+    "gee_ndwi_mean_30d": ("bounded", -1.0, 1.0),
+    "gee_smap_surface_soil_moisture": ("fraction", 0.0, 1.0),
+    "gee_smap_subsurface_soil_moisture": ("fraction", 0.0, 1.0),
+    "gee_impervious_fraction": ("fraction", 0.0, 1.0),
+    "land_fraction_saturated": ("fraction", 0.0, 1.0),
+    "land_fraction_unsaturated": ("fraction", 0.0, 1.0),
+    "land_fraction_wilting": ("fraction", 0.0, 1.0),
+    "land_fraction_snow_covered": ("fraction", 0.0, 1.0),
+    "gee_gfs_relative_humidity_pct": ("percentage", 0.0, 100.0),
+    "gee_gsw_occurrence_mean": ("percentage", 0.0, 100.0),
+    "gee_aspect_mean": ("angle_deg", 0.0, 360.0),
+    "gee_slope_mean": ("slope_deg", 0.0, 90.0),
+    "gee_gfs_temp2m_celsius": ("temperature_c", -90.0, 60.0),
+    "surface_temp": ("temperature_k", 180.0, 350.0),
+    "gee_imerg_sum_24h_mm": ("non_negative", 0.0, None),
+    "gee_imerg_max_1h_intensity_mm": ("non_negative", 0.0, None),
+    "gee_imerg_max_3h_intensity_mm": ("non_negative", 0.0, None),
+    "gee_imerg_max_6h_intensity_mm": ("non_negative", 0.0, None),
+    "gee_imerg_sum_3d_before_mm": ("non_negative", 0.0, None),
+    "gee_imerg_sum_7d_before_mm": ("non_negative", 0.0, None),
+    "gee_imerg_max_daily_7d_mm": ("non_negative", 0.0, None),
+    "imerg_max_1h_intensity_mm": ("non_negative", 0.0, None),
+    "imerg_mean_1h_intensity_mm": ("non_negative", 0.0, None),
+    "gee_imerg_intensity_3d_mm_per_day": ("non_negative", 0.0, None),
+    "gee_imerg_intensity_7d_mm_per_day": ("non_negative", 0.0, None),
+    "gee_distance_to_river_min_m": ("non_negative", 0.0, None),
+    "gee_elevation_mean": ("allow_negative", -500.0, None),
+    "gee_merit_upa_mean": ("unbounded_positive", 0.0, None),
+    "gee_gfs_surface_pressure_pa": ("pressure_pa", 30000.0, 110000.0),
+    "gee_gfs_precipitable_water_kg_m2": ("non_negative", 0.0, None),
+    "gee_gfs_wind_speed_ms": ("non_negative", 0.0, None),
+    "gee_flashiness_index": ("non_negative", 0.0, None),
+    "gee_saturation_proxy": ("non_negative", 0.0, None),
+    "gee_runoff_potential": ("non_negative", 0.0, None),
+    "gee_api_weighted_mm": ("non_negative", 0.0, None),
+    "gee_flashiness_index_7d": ("non_negative", 0.0, None),
+    "gee_precip_x_slope": ("non_negative", 0.0, None),
+    "gee_antecedent_moisture_proxy": ("non_negative", 0.0, None),
+    "gee_moisture_flux": ("allow_any", None, None),
+    "gee_twi": ("allow_any", None, None),
+    "gee_smap_soil_moisture_anomaly": ("allow_any", None, None),
 }
 REPAIR_ZERO_TOLERANCE = 1e-10
 REPAIR_CLAMP_TOLERANCE = 0.01

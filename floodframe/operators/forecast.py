@@ -85,6 +85,16 @@ def _with_line(df: DataFrame, near: DataFrame, axis: str, value: Column, output:
     return df.withColumn("_v", value.cast("double")).join(line, "_v").drop("_v")
 
 
+def nearest_grid_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """``latitude longitude`` of ``points``, each once, with the ``cell_id`` of the cell on the nearest lines of ``cells(cell_id cell_lat cell_lon)``."""
+    spots = points.select("latitude", "longitude").where("latitude IS NOT NULL AND longitude IS NOT NULL").distinct()
+    wanted = _on_axis(spots, "lat", F.col("latitude")).unionByName(_on_axis(spots, "lon", F.col("longitude")))
+    near = neighbours_on_axes(wanted, _on_axis(cells, "lat", F.col("cell_lat")).unionByName(_on_axis(cells, "lon", F.col("cell_lon"))))
+    near = near.select("axis", "v", F.when(F.col("axis") == "lat", _nearest("low")).otherwise(_nearest("high")).alias("near"))
+    lined = _with_line(_with_line(spots, near, "lat", F.col("latitude"), "cell_lat"), near, "lon", F.col("longitude"), "cell_lon")
+    return lined.join(cells, ["cell_lat", "cell_lon"]).select("latitude", "longitude", "cell_id")
+
+
 def _seconds(at: Column) -> Column:
     return F.unix_seconds(at.cast("timestamp"))
 

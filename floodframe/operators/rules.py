@@ -25,7 +25,7 @@ def null_out_of_range(df: DataFrame, rules: Mapping[str, tuple[float, float]] =
 def _repaired(c: Column, kind: str, low: float | None, high: float | None) -> Column:
     near = K.REPAIR_CLAMP_TOLERANCE
     tiny = K.REPAIR_ZERO_TOLERANCE
-    if kind == "any":
+    if kind == "allow_any":
         return c
     if kind == "bounded":
         return (
@@ -46,8 +46,7 @@ def repair_features(df: DataFrame, rules=K.REPAIR_RULES) -> DataFrame:
     present = set(df.columns)
     return df.withColumns({
         name: _repaired(F.col(name).cast("double"), kind, low, high)
-        for kind, (low, high, names) in rules.items()
-        for name in names
+        for name, (kind, low, high) in rules.items()
         if name in present
     })
 

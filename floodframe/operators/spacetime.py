@@ -64,16 +64,19 @@ def cell_table(obs: DataFrame) -> DataFrame:
 def within_reach(obs: DataFrame, events: DataFrame, days_before: int, days_after: int) -> DataFrame:
     """Observations any event's window can touch.
 
-    The bounds are scalar subqueries over the events. Of a table written by month (``obs_month``, see ``sources.grids``) only the
-    months in reach are listed and read; elsewhere the bound on ``ts`` filters after the scan.
+    The bounds are scalar subqueries over the events. Of a table written by month (``obs_month``, see ``sources.grids``) only the months
+    some window touches are listed and read, however far apart they lie; finding these calendar months runs a job. Elsewhere the bound
+    on ``ts`` filters after the scan.
     """
     first, last = F.date_sub(F.min("flood_start_date"), days_before), F.date_add(F.max("flood_start_date"), days_after)
     ts_type = dict(obs.dtypes)["ts"]
     held = obs.where((F.col("ts") >= events.agg(first).scalar().cast(ts_type)) & (F.col("ts") < events.agg(last).scalar().cast(ts_type)))
     if "obs_month" not in obs.columns:
         return held
-    month = lambda day: events.agg(F.date_format(day, "yyyy-MM")).scalar()
-    return held.where(F.col("obs_month").between(month(first), month(last)))
+    day = F.col("flood_start_date")
+    touched = F.sequence(F.trunc(F.date_sub(day, days_before), "month"), F.date_add(day, days_after), F.expr("INTERVAL 1 MONTH"))
+    months = events.where(day.isNotNull()).select(F.explode(touched).alias("_t")).select(F.date_format("_t", "yyyy-MM")).distinct().collect()
+    return held.where(F.col("obs_month").isin(sorted(r[0] for r in months)))
 
 
 def _slot_of(ts: Column, seconds: int) -> Column:

@@ -1,8 +1,12 @@
 """Session settings the library relies on, and the shared scratch folder."""
 
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -21,30 +25,42 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir``, else one under the warehouse."""
+    """Folder all executors can reach: ``spark.checkpoint.dir``, else one under the warehouse, which on a cluster may not be machine-local."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    if path:
+        return path
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    check_shared(spark.sparkContext.master, warehouse)
+    return f"{warehouse}/_scratch"
 
 
-_SCOPES: list[str] = []
+def check_shared(master: str, folder: str) -> None:
+    """Refuse a folder that each machine of a cluster has for itself."""
+    if not master.startswith("local") and ("://" not in folder or folder.startswith("file:")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder all executors share; {folder} is local to a machine")
+
+
+#: Open scopes, per thread.
+_SCOPES: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession):
     """Scope for intermediate tables: what is written inside it is deleted at its end, so write or collect results before."""
     base = f"{shared_dir(spark).rstrip('/')}/scope-{uuid.uuid4().hex}"
-    _SCOPES.append(base)
+    opened = _SCOPES.set((*_SCOPES.get(), base))
     try:
         yield base
     finally:
-        _SCOPES.remove(base)
+        _SCOPES.reset(opened)
         where = spark._jvm.org.apache.hadoop.fs.Path(base)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the open scope, or under the shared folder."""
-    base = _SCOPES[-1] if _SCOPES else shared_dir(spark).rstrip("/")
+    scopes = _SCOPES.get()
+    base = scopes[-1] if scopes else shared_dir(spark).rstrip("/")
     return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
@@ -53,3 +69,22 @@ def cut_lineage(spark: SparkSession, df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Jobs run at the same time by ``side_by_side``.
+AT_ONCE = 4
+
+
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable], at_once: int = AT_ONCE) -> list:
+    """Results of the jobs, in order; up to ``at_once`` run at a time, each in a scheduler pool of its own and in the caller's scratch scope."""
+    jobs = list(jobs)
+    if at_once < 2 or len(jobs) < 2:
+        return [job() for job in jobs]
+
+    def pooled(number, job):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"side-{number % at_once}")
+        return job()
+
+    with ThreadPoolExecutor(at_once) as pool:
+        started = [pool.submit(copy_context().run, inheritable_thread_target(pooled), number, job) for number, job in enumerate(jobs)]
+        return [s.result() for s in started]

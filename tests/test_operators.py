@@ -151,6 +151,17 @@ def test_windows_read_only_months_in_reach(spark, tmp_path):
     assert {tuple(r) for r in out.collect()} == {tuple(r) for r in spacetime.rain_features(_event(spark), _obs(spark, days)).collect()}
 
 
+def test_windows_of_two_eras_read_no_month_between(spark, tmp_path):
+    days = [(c, datetime(y, m, 9), float(m)) for c in range(3) for y in range(1990, 2021, 5) for m in (1, 6)]
+    grids.write_grid(_obs(spark, days), str(tmp_path / "obs"))
+    table = grids.read_grid(spark, str(tmp_path / "obs"))
+    events = _event(spark, date(1990, 1, 10)).unionByName(_event(spark, date(2020, 6, 10)).withColumn("event_id", F.lit(2)))
+    out = spacetime.rain_antecedent(events, table)
+    scans = _scanned(out)
+    assert scans and all(files == 2 for files, _ in scans)  # of 14
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in spacetime.rain_antecedent(events, _obs(spark, days)).collect()}
+
+
 def test_forecasts_read_only_wanted_months_and_one_variable(spark, tmp_path):
     rows = [(c, 10.0 + c, 20.0, datetime(2024, m, 5), p, k, v, float(100 * m + c + k) if v == "dis24" else 0.0)
             for c in range(2) for m in range(1, 13) for p, k in (("cf", 0), ("pf", 1), ("pf", 2)) for v in ("dis24", "swe") for _ in range(2)]
@@ -182,6 +193,32 @@ def test_scratch_scope_removes_what_it_made(spark, tmp_path):
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def test_scopes_of_threads_do_not_mix_and_jobs_keep_their_order(spark):
+    from floodframe import session
+
+    def job(k):
+        before = session.scratch_path(spark, "x")
+        with session.scratch(spark) as own:
+            inner = session.scratch_path(spark, "x")
+        return k, before.rsplit("/", 1)[0], inner.startswith(own), spark.range(k).count()
+
+    with session.scratch(spark) as base:
+        out = session.side_by_side(spark, [lambda k=k: job(k) for k in range(6)], 3)
+    assert out == [(k, base, True, k) for k in range(6)]
+    with pytest.raises(ZeroDivisionError):
+        session.side_by_side(spark, [lambda: 1 // 0, lambda: 1])
+
+
+def test_a_machine_local_folder_is_refused_on_a_cluster(spark):
+    from floodframe.session import check_shared
+
+    check_shared("local[8]", "file:/tmp/w")
+    check_shared("yarn", "hdfs://n/w")
+    for folder in ("file:/tmp/w", "/tmp/w"):
+        with pytest.raises(ValueError):
+            check_shared("spark://host:7077", folder)
+
+
 def test_nearest_on_axis(spark):
     axis = spark.createDataFrame([(-10.0,), (0.0,), (1.0,), (5.0,)], "v double")
     rng = np.random.default_rng(2).uniform(-30, 30, 200)

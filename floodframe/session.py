@@ -86,5 +86,5 @@ def side_by_side(spark: SparkSession, jobs: Sequence[Callable], at_once: int = A
         return job()
 
     with ThreadPoolExecutor(at_once) as pool:
-        started = [pool.submit(copy_context().run, inheritable_thread_target(pooled), number, job) for number, job in enumerate(jobs)]
+        started = [pool.submit(copy_context().run, inheritable_thread_target(spark)(pooled), number, job) for number, job in enumerate(jobs)]
         return [s.result() for s in started]

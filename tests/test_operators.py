@@ -193,6 +193,25 @@ def test_scratch_scope_removes_what_it_made(spark, tmp_path):
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def test_isotonic_by_slices_is_the_minmax_of_means(spark, monkeypatch):
+    from floodframe.operators import isotonic
+
+    rng = np.random.default_rng(3)
+    rows = [(float(s), int(rng.uniform() < 0.2 + 0.6 * s)) for s in rng.integers(0, 60, 3000) / 60]
+    monkeypatch.setattr(isotonic, "FAN", 2)  # several rounds of merging
+    model = isotonic.fit(spark.createDataFrame([*rows, (None, 1), (float("nan"), 0), (0.5, None)], "s double, y int"), "s", "y")
+    scores = sorted({s for s, _ in rows})
+    n, t = (np.array([f(y for s, y in rows if s == v) for v in scores], float) for f in (lambda g: sum(1 for _ in g), sum))
+    for k, v in enumerate(scores):
+        want = max(min(t[i:j + 1].sum() / n[i:j + 1].sum() for j in range(k, len(n))) for i in range(k + 1))
+        assert np.interp(v, model.scores, model.values) == pytest.approx(want)
+    probe = spark.createDataFrame([(-1.0,), (2.0,), (None,), (float("nan"),)], "s double")
+    got = [r[0] for r in probe.select(isotonic.apply(model, F.col("s"))).collect()]
+    assert got == [model.values[0], model.values[-1], None, None]
+    empty = isotonic.fit(spark.createDataFrame([], "s double, y int"), "s", "y")
+    assert [r[0] for r in probe.select(isotonic.apply(empty, F.col("s"))).collect()] == [None] * 4
+
+
 def test_scopes_of_threads_do_not_mix_and_jobs_keep_their_order(spark):
     from floodframe import session
 

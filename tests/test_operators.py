@@ -454,3 +454,33 @@ def test_monthly_rewrite_is_idempotent(spark, tmp_path):
         sinks.write_monthly(df, path)
     sinks.write_monthly(df.where("event_id = 2"), path)
     assert spark.read.parquet(path).count() == 2
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """Columns of each table a training step writes."""
+    tables, write = [], train.cut_lineage
+    monkeypatch.setattr(train, "cut_lineage", lambda spark, df: tables.append(df.columns) or write(spark, df))
+    return tables
+
+
+def _learnable(spark, n=240):
+    rows = spark.range(n).select(F.col("id").cast("string").alias("k"), (F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    return rows.withColumn("label", ((F.col("a") + F.col("b")) > 9).cast("int"))
+
+
+def test_rotations_write_the_rows_once_for_all_fits(spark, written):
+    lists = {"static": ["a"], "dynamic": ["b"], "full": ["a", "b"]}
+    small = {"boosted": {"maxIter": 1, "maxDepth": 2}, "forest": {"numTrees": 2, "maxDepth": 2}, "linear": {"maxIter": 3}}
+    df = _learnable(spark)
+    out = train.rotate_roles(df.unionByName(df.where("k = '7'")), lists, "k", k=2, params=small).collect()
+    assert sorted(r.cycle for r in out) == [1, 2, 3]
+    # the repeated key meets itself in the join of three scores
+    assert {r.tp + r.fn + r.fp + r.tn for r in out} == {240 - 1 + 8}
+    assert sum({"a", "b"} <= set(columns) for columns in written) == 1
+
+
+def test_trials_write_the_rows_once(spark, written):
+    df = features.assign_folds(_learnable(spark), "label", "k", 2)
+    assert train.tune(df, "linear", ["a", "b"], [{"maxIter": 2}, {"maxIter": 3}]).count() == 4
+    assert sum("a" in columns for columns in written) == 1

@@ -1,5 +1,5 @@
 import math
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -484,3 +484,74 @@ def test_trials_write_the_rows_once(spark, written):
     df = features.assign_folds(_learnable(spark), "label", "k", 2)
     assert train.tune(df, "linear", ["a", "b"], [{"maxIter": 2}, {"maxIter": 3}]).count() == 4
     assert sum("a" in columns for columns in written) == 1
+
+
+def _points(spark, n, seed=3):
+    """``n`` places with an id, a date and a flood type, spread over two degrees."""
+    rng = np.random.default_rng(seed)
+    rows = [(i, float(a), float(b), date(2020, 1, 1 + i % 28), "Flash flood") for i, (a, b) in enumerate(rng.uniform(10, 12, (n, 2)))]
+    return spark.createDataFrame(rows, "event_id long, latitude double, longitude double, flood_start_date date, flood_type string")
+
+
+def test_near_samples_are_compared_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(local, "_BUCKETS_AT_ONCE", 20, raising=False)
+    targets = _points(spark, 200).select((F.col("event_id") + 0).alias("target_id"), "latitude", (F.col("longitude") * 9).alias("longitude"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = local.local_samples(targets, _points(spark, 50), F.lit(date(2021, 1, 1)), 100.0)
+        assert pairs.rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_local_samples_query_with_repeated_ids(spark, tmp_path):
+    spark.createDataFrame([(1,), (1,), (2,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    orders = [(k, c, date(2005, 1, 1) if k % 2 else date(1970, 1, 1)) for k, c in ((1, 1), (1, 1), (2, 1), (3, 1), (4, 2), (5, 7))]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date").write.parquet(str(tmp_path / "orders.parquet"))
+    from floodframe.queries import registry  # noqa: F401
+    from floodframe.queries.base import QUERIES
+
+    rows = QUERIES["local_samples"](spark, str(tmp_path)).collect()
+    assert rows and all(r.is_recent == (r.event_id % 2 == 1) for r in rows)
+    # too few recent events anywhere, so each target takes all of its radius; pairs of repeated ids meet each other as they did
+    assert all(r.in_recent_choice for r in rows)
+    assert all(sum(1 for s in rows if (s.target_id, s.event_id) == (r.target_id, r.event_id)) in (1, 4, 16) for r in rows)
+
+
+def test_exclusion_reads_its_candidates_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def drawn(v):
+        seen.add(1)
+        return v
+
+    places = _points(spark, 100)
+    candidates = places.withColumn("latitude", drawn("latitude"))
+    far = negatives.exclude_within(candidates, places.where("event_id < 10").select("latitude", "longitude"), 20_000).collect()
+    assert seen.value == 100 and 0 < len(far) < 90
+
+
+def test_zonal_boxes_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
+    from floodframe.operators import zonal
+
+    monkeypatch.setattr(zonal, "_PLACES_AT_ONCE", 50, raising=False)
+    assert zonal._boxes(_points(spark, 500), None, 0.05).rdd.getNumPartitions() == 10
+
+
+def test_clear_sky_medians_move_no_image_per_event(spark):
+    rng = np.random.default_rng(5)
+    images = [(c, 11.0 + c / 10, 11.0, datetime(2019, 12, 1) + timedelta(hours=int(h)), 4, 1, None if h % 9 == 0 else float(r), float(n), float(g))
+              for c in range(3) for h, r, n, g in zip(rng.integers(0, 1500, 60), *rng.uniform(100, 9000, (3, 60)))]
+    grid = spark.createDataFrame(images, "cell_id long, latitude double, longitude double, ts timestamp, scene_class int, cloud_pct int, B4 double, B8 double, B3 double")
+    out = spacetime.clear_sky_index_features(_points(spark, 40), grid, buffer=1e6)
+    assert "median(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for r in out.collect():
+        first = datetime(r.flood_start_date.year, r.flood_start_date.month, r.flood_start_date.day) - timedelta(days=30)
+        values = []
+        for c in range(3):
+            held = [i for i in images if i[0] == c and first <= i[3] < first + timedelta(days=30)]
+            red, nir = np.median([i[6] for i in held if i[6] is not None]), np.median([i[7] for i in held])
+            values.append((nir - red) / (nir + red))
+        assert r.NDVI == pytest.approx(np.mean(values))

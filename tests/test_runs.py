@@ -104,3 +104,32 @@ def test_locations_without_expert_take_the_global_probability(spark):
     assert out[2]["n_local"] == 0 and out[2]["local_proba"] is None and out[2]["final_proba"] == 0.3 and out[2]["avg_dist_km"] == 500.0
     assert out[3]["final_proba"] == out[3]["local_proba"] is not None
     assert out[4]["final_proba"] == 0.9
+
+
+def test_small_groups_are_fitted_without_a_job_per_step_and_as_large_ones_are(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = []
+    for g, n in ((1, 150), (2, 64), (3, 31)):
+        a, b = rng.normal(size=n) + 3, rng.integers(0, 9, n).astype(float)
+        y = (rng.uniform(size=n) < 1 / (1 + np.exp(3 - a))).astype(int)
+        rows += [(g, g * 1000 + i, int(y[i]), [float(a[i]), None, float("nan")][i % 13 == 0 if i % 2 else 2 * (i % 17 == 0)], float(b[i]), 7) for i in range(n)]
+    rows += [(1, None, 1, 2.0, 4.0, 7), (None, 5, 0, 1.0, 1.0, 7), (4, 6, 1, 1.0, 1.0, 7), (4, 6, 0, 2.0, 1.0, 7)]
+    df = spark.createDataFrame(rows, "g int, key long, y int, a double, b double, c int")
+    context = spark.sparkContext
+    fit = lambda: {r["g"]: r.asDict() for r in experts.fit_experts(df, "g", "key", ["a", "b", "c"], "y", min_rows=2).collect()}
+    context.setJobGroup("small groups", "")
+    try:
+        small = fit()
+        jobs = len(context.statusTracker().getJobIdsForGroup("small groups"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 16  # eight steps are not eight passes
+    monkeypatch.setattr(experts, "ROWS_AT_ONCE", 4 * 100)  # group 1 goes by passes, the others at once
+    mixed = fit()
+    monkeypatch.setattr(experts, "ROWS_AT_ONCE", 0)
+    large = fit()
+    assert set(small) == set(mixed) == set(large) == {1, 2, 3}  # of group 4 no fold has a model of other rows
+    for g, one in small.items():
+        for other in (mixed[g], large[g]):
+            for c in one:
+                assert other[c] == pytest.approx(one[c], rel=1e-6, abs=1e-8), (g, c)

@@ -555,3 +555,26 @@ def test_clear_sky_medians_move_no_image_per_event(spark):
             red, nir = np.median([i[6] for i in held if i[6] is not None]), np.median([i[7] for i in held])
             values.append((nir - red) / (nir + red))
         assert r.NDVI == pytest.approx(np.mean(values))
+
+
+def test_zonal_boxes_stay_where_they_are_and_only_few_cells_travel(spark, monkeypatch):
+    from floodframe.operators import zonal
+
+    far = [(9_000 + i, "elevation", 60.0 + i / 100, 0.0, 1.0) for i in range(300)]
+    cells = [(100 * i + j, "elevation", i / 100, j / 100, float(i * j % 23)) for i in range(-30, 31) for j in range(-30, 31)]
+    static = spark.createDataFrame(cells + far, "cell_id long, variable string, latitude double, longitude double, value double")
+    points = spark.createDataFrame([(i, i / 50, -i / 70, "Snowmelt") for i in range(12)], "event_id long, latitude double, longitude double, flood_type string")
+    mean = lambda: zonal.zonal_mean(points, static, ["elevation"]).select("event_id", F.round("gee_elevation_mean", 9))
+    few = mean()
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=broadcast)") == 4 and "leftHint" not in plan  # the boxes are on the left
+    assert zonal._cells_near(zonal._boxes(points, None, 0.05), zonal._cells(static, 0.05)).count() <= len(cells)
+    got = sorted(map(tuple, few.collect()))
+    monkeypatch.setattr(zonal, "_CELLS_EVERYWHERE", 0)
+    many = mean()
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=merge)") == 4 and sorted(map(tuple, many.collect())) == got
+    for i, value in got:
+        half = 25_000 / 110_540, 25_000 / (111_320 * math.cos(math.radians(i / 50)))
+        inside = [v for *_, lat, lon, v in cells if abs(lat - i / 50) <= half[0] and abs(lon + i / 70) <= half[1]]
+        assert value == pytest.approx(sum(inside) / len(inside))

@@ -578,3 +578,24 @@ def test_zonal_boxes_stay_where_they_are_and_only_few_cells_travel(spark, monkey
         half = 25_000 / 110_540, 25_000 / (111_320 * math.cos(math.radians(i / 50)))
         inside = [v for *_, lat, lon, v in cells if abs(lat - i / 50) <= half[0] and abs(lon + i / 70) <= half[1]]
         assert value == pytest.approx(sum(inside) / len(inside))
+
+
+def test_weight_sweep_multiplies_no_rows_and_counts_as_one_by_one(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(rng.integers(0, 2)), *[float(v) for v in rng.choice([0.0, 0.1, 0.35, 0.5, 0.9, 1.0, *rng.uniform(0, 1, 4)], 3)]) for _ in range(120)]
+    rows += [(1, None, 0.5, 0.5), (0, 0.2, 0.2, None), (None, 0.1, 0.4, 0.2), (0, -1.0, 2.0, -3.0)]
+    df = spark.createDataFrame(rows, "y int, p_a double, p_b double, p_c double")
+    found = metrics.search_weights(df, "y", ["p_a", "p_b", "p_c"])
+    assert "inline" not in found._jdf.queryExecution().optimizedPlan().toString().split("Union")[0]
+    out = {(round(r.weight_static, 9), round(r.weight_dynamic, 9), round(r.threshold, 9)): r for r in found.collect()}
+    assert len(out) == 171 * 81
+    for weights in metrics.weight_grid()[::17]:
+        at = df.select("y", metrics.blended(["p_a", "p_b", "p_c"], weights).alias("p"))
+        q = metrics.clip_probability(F.col("p"))
+        whole = at.agg(F.count("y").alias("n"), F.sum(F.when(F.col("y") == 1, (1 - q) * (1 - q)).when(F.col("y") == 0, q * q)).alias("s")).first()
+        for threshold in (0.1, 0.11, 0.35, 0.5, 0.9):
+            high = F.coalesce(F.col("p") >= threshold, F.lit(False))
+            want = at.agg(F.count_if(high & (F.col("y") == 1)).alias("tp"), F.count_if(high & (F.col("y") == 0)).alias("fp"),
+                          F.count_if(~high & (F.col("y") == 1)).alias("fn"), F.count_if(~high & (F.col("y") == 0)).alias("tn")).first()
+            r = out[round(weights[0], 9), round(weights[1], 9), threshold]
+            assert (r.tp, r.fp, r.fn, r.tn) == tuple(want) and r.brier == pytest.approx(whole.s / whole.n)
